@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.json_text import BROKEN, parse_strict, token
+from sparkloom.functions.skew import salted_join
 
 #: Entry types of a session log (fixed values).
 ENTRY_TYPES = ("session", "message", "model_change", "compaction", "custom")
@@ -30,8 +31,6 @@ USAGE_COUNTS = ("input", "output", "cacheRead", "cacheWrite", "reasoning", "tota
 EXPORT_COLUMNS = ("entry_id", "type", "timestamp", "role", "message")
 
 LINE_KEY = ("path", "line_no")
-#: Spread of one file's lines over tasks where they meet the file's header.
-SALTS = 16
 
 Rules = Sequence[tuple[str, Column]]
 
@@ -191,11 +190,8 @@ def export_texts(lines: DataFrame) -> DataFrame:
     between two others is a doubled quote. Blank lines and headers are left out; the delimiter of a file
     without a header is a comma.
     """
-    spread = lines.select(*LINE_KEY, F.regexp_replace("line", "[\r\n]+$", "").alias("text"), "line").withColumn(
-        "salt", F.pmod(F.xxhash64("line_no"), F.lit(SALTS)).cast("int")
-    )
-    headers = export_delimiters(lines).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = spread.join(headers, ["path", "salt"], "left").filter(not_blank(F.col("line")))
+    own = lines.select(*LINE_KEY, F.regexp_replace("line", "[\r\n]+$", "").alias("text"), "line").filter(not_blank(F.col("line")))
+    joined = salted_join(own, export_delimiters(lines), ["path"], F.col("line_no"))
     rows = joined.filter((F.col("line_no") != 1) | F.col("delimiter").isNull()).withColumn("d", F.coalesce("delimiter", F.lit(",")))
     last = F.size("parts") - 1
 
