@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.session import cut
+
 #: Keys of a call that hold its argument object (fixed values).
 OBJECT_KEYS = ("arguments", "input")
 #: Share of a tool's files that must have a name before its absence beside another one means anything.
@@ -105,6 +107,12 @@ def header_schemas(fields: DataFrame) -> DataFrame:
     )
 
 
+def read_headers(calls: DataFrame) -> DataFrame:
+    """Header schemas of all files of ``calls``, checkpointed: they are small beside the calls, and all
+    that follows reads them several times."""
+    return cut(header_schemas(call_fields(read_calls(calls))))
+
+
 def file_schemas(headers: DataFrame) -> DataFrame:
     """One row per file and tool: ``schema`` and the one before it (``earlier``, null for a tool's first
     file), each an array of (level, field, kind)."""
@@ -218,7 +226,7 @@ def log_changes(schemas: DataFrame, names: DataFrame) -> DataFrame:
 
 def drift_log(calls: DataFrame) -> DataFrame:
     """Every change of the argument objects of ``calls``, by :func:`log_changes`."""
-    headers = header_schemas(call_fields(read_calls(calls)))
+    headers = read_headers(calls)
     schemas = file_schemas(headers)
     return log_changes(schemas, other_names(headers, _change_of(schemas)))
 
@@ -241,7 +249,7 @@ def argument_names(headers: DataFrame, names: DataFrame, rounds: int = 3) -> Dat
 
 def union_schema(calls: DataFrame) -> DataFrame:
     """The folded schema: ``tool``, ``argument``, promoted ``kind``, ``names`` and ``n_files``."""
-    headers = header_schemas(call_fields(read_calls(calls)))
+    headers = read_headers(calls)
     names = argument_names(headers, other_names(headers, _change_of(file_schemas(headers))))
     keys = headers.filter("level = 1").join(names.toDF("t", "f", "argument"), F.col("tool").eqNullSafe(F.col("t")) & (F.col("field") == F.col("f")))
     return keys.groupBy("tool", "argument").agg(
@@ -255,8 +263,7 @@ def unified_calls(calls: DataFrame) -> DataFrame:
     A string is its own text, any other value its JSON text, so that every value of an argument reads
     by the argument's type in :func:`union_schema`; null values and absent arguments have no entry.
     """
-    read = read_calls(calls)
-    headers = header_schemas(call_fields(read))
+    read, headers = read_calls(calls), read_headers(calls)
     names = argument_names(headers, other_names(headers, _change_of(file_schemas(headers))))
     by_tool = names.groupBy("tool").agg(F.map_from_entries(F.collect_list(F.struct("field", "argument"))).alias("names"))
     joined = read.join(by_tool.withColumnRenamed("tool", "t"), F.col("tool").eqNullSafe(F.col("t")), "left")
