@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.session import ship
 
-MODULES = ("logs", "graph", "training_data")
+MODULES = ("logs", "graph", "timed_text", "training_data")
 
 
 def modules() -> list[ModuleType]:
