@@ -84,11 +84,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _CUES = "cue AS (SELECT DISTINCT doc_id, seq, seconds, text FROM cues WHERE text <> '' AND seconds IS NOT NULL)"
 _S = r"[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}\x{1680}\x{85}\x{2028}\x{2029}\x0B]"
 _SPACED = rf"trim(regexp_replace(text, '{_S}+', ' ', 'g'))"
-_CLOCK = "CASE WHEN s >= 3600 THEN lpad(CAST(s // 3600 AS VARCHAR), greatest(2, length(CAST(s // 3600 AS VARCHAR))), '0') || ':' ELSE '' END || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0')"
+_CLOCK = "CASE WHEN s >= 3600 THEN lpad(CAST(s // 3600 AS VARCHAR), CAST(greatest(2, length(CAST(s // 3600 AS VARCHAR))) AS INTEGER), '0') || ':' ELSE '' END || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0')"
 
 SQL = {
     "dedupe_consecutive": f"WITH {_CUES} SELECT doc_id, seq FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY seconds, seq) AS before FROM cue) WHERE text IS DISTINCT FROM before",
     "text_normalize": rf"WITH {_CUES} SELECT doc_id, seq, regexp_replace(regexp_replace(regexp_replace({_SPACED}, '\s+([,.;:!?])', '\1', 'g'), '([(\[{{])\s+', '\1', 'g'), '\s+([)\]}}])', '\1', 'g') AS text FROM cue",
+    "html_strip_unescape": rf"""WITH {_CUES} SELECT doc_id, seq, text FROM (SELECT doc_id, seq, regexp_replace(trim(regexp_replace(
+  regexp_replace(replace(replace(replace(text, '&nbsp;', chr(160)), '&eacute;', 'é'), '&#39;', chr(39)), '<[^>]+>', '', 'g'), '{_S}+', ' ', 'g')), '\s+([,.;:!?])', '\1', 'g') AS text FROM cue) WHERE true""",
     "token_normalize": rf"WITH {_CUES} SELECT regexp_replace(lower(w), '[^\pL\pM\pN_'']+', '', 'g') AS token, count(*) AS n FROM (SELECT unnest(string_split({_SPACED}, ' ')) AS w FROM cue) WHERE w <> '' GROUP BY 1",
     "clock_roundtrip": f"SELECT o_orderkey, {_CLOCK} AS clock, CAST(s AS DOUBLE) AS seconds FROM (SELECT o_orderkey, o_orderkey * 7 AS s FROM orders)",
     "candidate_best": """WITH x AS (SELECT space, doc_id AS ordinal, replace(lower(coalesce(lang, 'und')), '_', '-') AS l, string_split(replace(lower(coalesce(lang, 'und')), '_', '-'), '-')[1] AS b,
