@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as text_functions
 from sparkloom.operators import logs, pages, records
 from sparkloom.plans.logs import _BASE
+from sparkloom.plans.timed_text import _S
 from sparkloom.session import table
 
 #: Programs that the session logs use and what to take instead.
@@ -120,13 +121,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _PAGES = r"""WITH d AS (SELECT doc_id, path, regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '^\x{FEFF}', '') AS body FROM documents),
-f AS (SELECT *, regexp_extract(body, '^---\n((?:[^\n]*\n)*?)---(?:\n|$)', 1) AS matter, trim(regexp_extract(body, '(?m)^# +([^\n]+)$', 1)) AS heading FROM d),
+f AS (SELECT *, regexp_extract(body, '^---\n((?:[^\n]*\n)*?)---(?:\n|$)', 1) AS matter, regexp_replace(regexp_extract(body, '(?m)^# +([^\n]+)$', 1), '@E', '', 'g') AS heading FROM d),
 pages AS (SELECT doc_id, lower(CASE WHEN heading <> '' THEN heading ELSE regexp_replace(regexp_extract(coalesce(path, ''), '[^/]*$'), '\.[^.]+$', '') END) AS name,
-  nullif(trim(regexp_extract(matter, '(?m)^type:([^\n]*)$', 1)), '') AS type, regexp_extract(matter, '(?m)^title:([^\n]*)$', 1) AS title,
-  list_filter(list_transform(string_split(regexp_replace(regexp_extract(matter, '(?m)^tags:([^\n]*)$', 1), '[\[\]]', '', 'g'), ','), lambda t: trim(t)), lambda t: t <> '') AS tags,
+  nullif(regexp_replace(regexp_extract(matter, '(?m)^type:([^\n]*)$', 1), '@E', '', 'g'), '') AS type, regexp_extract(matter, '(?m)^title:([^\n]*)$', 1) AS title,
+  list_filter(list_transform(string_split(regexp_replace(regexp_extract(matter, '(?m)^tags:([^\n]*)$', 1), '[\[\]]', '', 'g'), ','), lambda t: regexp_replace(t, '@E', '', 'g')), lambda t: t <> '') AS tags,
   CAST(len(list_filter(regexp_split_to_array(body, '[ \t\n\f\r]+'), lambda w: w <> '')) AS INT) AS words, body FROM f),
-links AS (SELECT doc_id, name, lower(trim(t)) AS target FROM (SELECT doc_id, name, unnest(regexp_extract_all(body, '\[\[([^\[\]|#\n]+)(?:[|#][^\]\n]*)?\]\]', 1)) AS t FROM pages) WHERE trim(t) <> ''),
-names AS (SELECT DISTINCT name FROM pages WHERE name <> '') """
+links AS (SELECT doc_id, name, lower(regexp_replace(t, '@E', '', 'g')) AS target FROM (SELECT doc_id, name, unnest(regexp_extract_all(body, '\[\[([^\[\]|#\n]+)(?:[|#][^\]\n]*)?\]\]', 1)) AS t FROM pages) WHERE regexp_replace(t, '@E', '', 'g') <> ''),
+names AS (SELECT DISTINCT name FROM pages WHERE name <> '') """.replace("@E", f"^{_S}+|{_S}+$")
 _BROKEN = "SELECT target, count(DISTINCT doc_id) AS pages FROM links WHERE target NOT IN (SELECT name FROM names) GROUP BY target"
 _COMMANDS = "SELECT path, line_no, args->>'$.command' AS command FROM c WHERE name = 'bash' AND args->>'$.command' IS NOT NULL"
 
@@ -141,8 +142,8 @@ SELECT target, 'missing page' AS drift FROM e WHERE target NOT IN (SELECT name F
     "thin_oversized": _PAGES + "SELECT doc_id, words, CASE WHEN words < 100 THEN 'thin' ELSE 'oversized' END AS size FROM pages WHERE words < 100 OR words > 2000",
     "format_issues": _PAGES
     + r"""SELECT doc_id, issue FROM (SELECT doc_id, unnest([CASE WHEN type IS NULL THEN 'no type' WHEN type NOT IN ('entity', 'concept', 'source', 'synthesis') THEN 'unknown type' END,
- CASE WHEN len(tags) = 0 THEN 'no tags' END, CASE WHEN trim(title) <> '' THEN 'title in front matter' END, CASE WHEN regexp_matches(body, '(?m)^# +[^\n]') THEN 'heading of level one' END,
- CASE WHEN NOT regexp_matches(body, '(?m)^## Sources *$') THEN 'no sources' END]) AS issue FROM pages) WHERE issue IS NOT NULL""",
+ CASE WHEN len(tags) = 0 THEN 'no tags' END, CASE WHEN regexp_replace(title, '@E', '', 'g') <> '' THEN 'title in front matter' END, CASE WHEN regexp_matches(body, '(?m)^# +[^\n]') THEN 'heading of level one' END,
+ CASE WHEN NOT regexp_matches(body, '(?m)^## Sources *$') THEN 'no sources' END]) AS issue FROM pages) WHERE issue IS NOT NULL""".replace("@E", f"^{_S}+|{_S}+$"),
     "log_entries": _PAGES
     + r"""SELECT doc_id, m.date, m.verb, m.subject FROM (SELECT doc_id, regexp_extract(line, '^## \[(\d{4}-\d{2}-\d{2})\] (\w+) \| ([^\n]*)$', ['date', 'verb', 'subject']) AS m FROM
  (SELECT doc_id, unnest(regexp_extract_all(body, '(?m)^## \[\d{4}-\d{2}-\d{2}\] \w+ \| [^\n]*$')) AS line FROM pages))""",
