@@ -23,4 +23,5 @@ def format_clock(seconds: Column) -> Column:
 
 def compact_date(text: Column) -> Column:
     """``YYYYMMDD`` as ``YYYY-MM-DD``; null for anything else."""
-    return F.try_to_date(text, "yyyyMMdd").cast("string") if hasattr(F, "try_to_date") else F.when(text.rlike(r"^\d{8}$"), F.to_date(text, "yyyyMMdd").cast("string"))
+    parts = [F.substr(text, F.lit(at), F.lit(size)) for at, size in ((1, 4), (5, 2), (7, 2))]
+    return F.when(text.rlike(r"^\d{8}$"), F.concat_ws("-", *parts).try_cast("date").cast("string"))

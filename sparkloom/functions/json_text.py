@@ -62,7 +62,7 @@ def token(value: Any) -> str:
     if isinstance(value, str):
         return '"' + clean(value)
     if isinstance(value, list):
-        return "[" + "".join(sorted({token(v)[0] if isinstance(v, list) else token_start(v) for v in value}))
+        return "[" + "".join(sorted(set(map(token_start, value))))
     return "{"
 
 

@@ -193,27 +193,29 @@ def export_texts(lines: DataFrame) -> DataFrame:
     own = lines.select(*LINE_KEY, F.regexp_replace("line", "[\r\n]+$", "").alias("text"), "line").filter(not_blank(F.col("line")))
     joined = salted_join(own, export_delimiters(lines), ["path"], F.col("line_no"))
     rows = joined.filter((F.col("line_no") != 1) | F.col("delimiter").isNull()).withColumn("d", F.coalesce("delimiter", F.lit(",")))
-    last = F.size("parts") - 1
-
-    def outside(part: Column, i: Column) -> Column:
-        opens = (i == 0) | part.startswith(F.col("d"))
-        closes = (i == last) | part.endswith(F.col("d"))
-        doubled = (part == "") & (i > 0) & (i < last)
-        return doubled | ((part == "") & ((i == 0) | (i == last))) | (opens & closes)
+    d, nul = F.col("d"), F.lit("\0")
 
     def marked(part: Column, i: Column) -> Column:
-        doubled = (part == "") & (i > 0) & (i < last)
-        return (
-            F.when(i % 2 == 1, F.replace(part, F.lit("\0"), F.lit("�")))
-            .when(doubled, F.lit('"'))
-            .otherwise(F.replace(F.replace(part, F.lit("\0"), F.lit("�")), F.col("d"), F.lit("\0")))
-        )
+        """Inner text as it is, delimiters outside as NUL, empty outer segments as a quote."""
+        clean = F.replace(part, nul, F.lit("\ufffd"))
+        return F.when(i % 2 == 1, clean).when(part == "", F.lit('"')).otherwise(F.replace(clean, d, nul))
 
+    # Segments are only looked at one by one, never from within each other, so long lines take linear time.
     parts = rows.withColumn("parts", F.split("text", '"', -1))
-    read = parts.withColumn(
-        "quoted_well", (last % 2 == 0) & F.forall(F.transform("parts", lambda p, i: (i % 2 == 1) | outside(p, i)), lambda x: x)
-    ).withColumn("fields", F.split(F.array_join(F.transform("parts", marked), ""), "\0", -1))
-    return read.select(*LINE_KEY, "line", "quoted_well", "fields")
+    outer = parts.withColumn("outer", F.filter("parts", lambda p, i: i % 2 == 0))
+    first, last = F.get("outer", F.lit(0)), F.element_at("outer", -1)
+    single = F.size("parts") == 1
+    between = F.slice("outer", F.lit(2), F.greatest(F.size("outer") - 2, F.lit(0)))
+    well = (
+        (F.size("parts") % 2 == 1)
+        & (single | (((first == "") | first.endswith(d)) & ((last == "") | last.startswith(d))))
+        & F.forall(between, lambda p: (p == "") | (p.startswith(d) & p.endswith(d)))
+    )
+    text = F.array_join(F.transform("parts", marked), "")
+    start = F.when(~single & (first == ""), 2).otherwise(1)
+    size = F.length(text) - (start - 1) - F.when(~single & (last == ""), 1).otherwise(0)
+    joined = F.when(single, F.replace(F.replace("text", nul, F.lit("\ufffd")), d, nul)).otherwise(F.substr(text, start, size))
+    return outer.select(*LINE_KEY, "line", well.alias("quoted_well"), F.split(joined, "\0", -1).alias("fields"))
 
 
 def is_iso_instant(text: Column) -> Column:

@@ -122,12 +122,12 @@ m AS (
   SELECT path, line_no, j->>'$.message.role' AS role, coalesce(nullif(j->>'$.message.model', ''), '?') AS model,
     coalesce(nullif(j->>'$.message.toolName', ''), '?') AS tool_name, coalesce(try_cast(j->>'$.message.isError' AS BOOLEAN), false) AS is_error,
     coalesce(json_type(j, '$.message.usage') = 'OBJECT' AND j->>'$.message.usage' <> '{}', false) AS has_usage,
-    coalesce(CAST(trunc(try_cast(j->>'$.message.usage.input' AS DOUBLE)) AS BIGINT), 0) AS "input",
-    coalesce(CAST(trunc(try_cast(j->>'$.message.usage.output' AS DOUBLE)) AS BIGINT), 0) AS "output",
-    coalesce(CAST(trunc(try_cast(j->>'$.message.usage.cacheRead' AS DOUBLE)) AS BIGINT), 0) AS cache_read,
-    coalesce(CAST(trunc(try_cast(j->>'$.message.usage.cacheWrite' AS DOUBLE)) AS BIGINT), 0) AS cache_write,
-    coalesce(CAST(trunc(try_cast(j->>'$.message.usage.reasoning' AS DOUBLE)) AS BIGINT), 0) AS reasoning,
-    coalesce(CAST(trunc(try_cast(j->>'$.message.usage.totalTokens' AS DOUBLE)) AS BIGINT), 0) AS total,
+    coalesce(CAST(trunc(try_cast(replace(replace(j->>'$.message.usage.input', 'true', '1'), 'false', '0') AS DOUBLE)) AS BIGINT), 0) AS "input",
+    coalesce(CAST(trunc(try_cast(replace(replace(j->>'$.message.usage.output', 'true', '1'), 'false', '0') AS DOUBLE)) AS BIGINT), 0) AS "output",
+    coalesce(CAST(trunc(try_cast(replace(replace(j->>'$.message.usage.cacheRead', 'true', '1'), 'false', '0') AS DOUBLE)) AS BIGINT), 0) AS cache_read,
+    coalesce(CAST(trunc(try_cast(replace(replace(j->>'$.message.usage.cacheWrite', 'true', '1'), 'false', '0') AS DOUBLE)) AS BIGINT), 0) AS cache_write,
+    coalesce(CAST(trunc(try_cast(replace(replace(j->>'$.message.usage.reasoning', 'true', '1'), 'false', '0') AS DOUBLE)) AS BIGINT), 0) AS reasoning,
+    coalesce(CAST(trunc(try_cast(replace(replace(j->>'$.message.usage.totalTokens', 'true', '1'), 'false', '0') AS DOUBLE)) AS BIGINT), 0) AS total,
     coalesce(try_cast(j->>'$.message.usage.cost.total' AS DECIMAL(38,10)), 0) AS cost, json_extract(j, '$.message.content') AS content
   FROM e WHERE type = 'message'),
 b AS (SELECT path, line_no, pos, block FROM (
