@@ -17,7 +17,7 @@ def read_lines(spark: SparkSession, directory: str, glob: str = "*.jsonl") -> Da
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
-        F.replace("value", F.lit("�"), F.lit("")).alias("line"),
+        F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("line"),
     )
     order = Window.partitionBy("path").orderBy("block", "row")
     return placed.select("path", F.row_number().over(order).cast("bigint").alias("line_no"), "line")
@@ -28,7 +28,7 @@ def read_pages(spark: SparkSession, directory: str, glob: str = "*.md", skip: tu
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(directory)
     file_name = F.element_at(F.split("path", "/"), -1)
     return files.filter(~file_name.isin(*skip)).select(
-        "path", F.regexp_replace(file_name, r"\.[^.]+$", "").alias("name"), F.decode("content", F.lit("UTF-8")).alias("body"), F.col("modificationTime").alias("modified")
+        "path", F.regexp_replace(file_name, r"\.[^.]+$", "").alias("name"), F.decode("content", "UTF-8").alias("body"), F.col("modificationTime").alias("modified")
     )
 
 

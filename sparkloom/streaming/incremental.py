@@ -51,6 +51,6 @@ def follow_files(spark: SparkSession, source: str, folder: str, checkpoint: str,
     files = (
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(source)
     )
-    texts = files.select(F.col("path").alias("file_path"), F.decode("content", F.lit("UTF-8")).alias("text"), F.col("modificationTime").alias("modified"))
+    texts = files.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("text"), F.col("modificationTime").alias("modified"))
     writer = texts.writeStream.foreachBatch(lambda batch, _: replace_files(parse(batch), folder, key)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime="1 second") if continuous else writer.trigger(availableNow=True)).start()
