@@ -14,5 +14,15 @@ def whole_json(line: Column) -> Column:
     """
     mark = F.concat(F.lit("="), F.xxhash64(line).cast("string"))
     pair = F.try_parse_json(F.concat(F.lit("["), line, F.lit(',"'), mark, F.lit('"]')))
-    single = (F.try_variant_get(pair, "$[1]", "string") == mark) & F.try_variant_get(pair, "$[2]", "variant").isNull()
-    return F.when(single, F.try_variant_get(pair, "$[0]", "variant"))
+
+    def first(read: Column) -> Column:
+        single = (F.try_variant_get(read, "$[1]", "string") == mark) & F.try_variant_get(read, "$[2]", "variant").isNull()
+        return F.when(single, F.try_variant_get(read, "$[0]", "variant"))
+
+    return F.get(F.transform(F.array(pair), first), F.lit(0))  # the lambda's variable holds what is parsed once
+
+
+def objects_of(line: Column) -> Column:
+    """The JSON object of a line as rows to generate: one, or none. What is read from a generated column
+    is never merged with the parsing, so each line is parsed once."""
+    return F.explode(F.filter(F.array(whole_json(line)), lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.constants import BAR_WIDTH, PATH_KEYS, TOP_ROWS
 from sparkloom.functions.paths import base_name, command_head, parent_name, suffix
-from sparkloom.functions.variants import whole_json
+from sparkloom.functions.variants import objects_of
 
 MONEY = "decimal(38,10)"
 COUNTS = {"input": "input", "output": "output", "cache_read": "cacheRead", "cache_write": "cacheWrite", "reasoning": "reasoning", "total": "totalTokens"}
@@ -28,7 +28,7 @@ COUNTS = {"input": "input", "output": "output", "cache_read": "cacheRead", "cach
 def entries(lines: DataFrame) -> DataFrame:
     """Entries (JSON objects) as VARIANT ``v`` with ``path``, ``line_no``, ``type``, ``timestamp`` and ``cwd``."""
     once = lines.select("path", "line_no", "line").distinct()
-    parsed = once.select("path", "line_no", whole_json(F.col("line")).alias("v")).filter(F.schema_of_variant("v").startswith("OBJECT"))
+    parsed = once.select("path", "line_no", objects_of(F.col("line")).alias("v"))
     return parsed.select("path", "line_no", "v", *[F.try_variant_get("v", f"$.{k}", "string").alias(k) for k in ("type", "timestamp", "cwd")])
 
 
