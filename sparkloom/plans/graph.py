@@ -1,12 +1,15 @@
 """Queries of the property graph over the star-schema tables, and their SQL.
 
-Parts stand for symbols (a brand is a file), consecutive small lines of an order for the edges between
-them; region, nation, customer and supplier for nested containers. Sources are the ids divisible by 100.
+Parts stand for symbols (a brand is a file), consecutive lines of an order for the edges between them;
+region, nation, customer and supplier for nested containers. Sources are the ids divisible by 100. The
+queries whose SQL reads small lines only do the same; each has a twin, ``whole_`` before its name, over all
+lines.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ BRAND = "Brand#1"
 PATH_QUERY = "./Planner-5.md"
 LITERAL = "planner"
 
+Edges = Callable[[SparkSession, str], DataFrame]
+
 
 def part_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Parts as symbols."""
@@ -38,11 +43,19 @@ def part_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def part_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Edges from each part to that of the next line of its order, of lines of at most ten pieces."""
+    """Edges from each part to that of the next line of its order."""
+    return _edges_of(table(spark, d, "lineitem"))
+
+
+def small_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The same of lines of at most ten pieces, as the SQL of the queries asks."""
+    return _edges_of(table(spark, d, "lineitem").filter("l_quantity <= 10"))
+
+
+def _edges_of(items: DataFrame) -> DataFrame:
     columns = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
     order = Window.partitionBy("l_orderkey").orderBy(*columns)
-    small = table(spark, d, "lineitem").filter("l_quantity <= 10")
-    pairs = small.withColumn("dst", F.lead("l_partkey").over(order)).filter("dst is not null")
+    pairs = items.withColumn("dst", F.lead("l_partkey").over(order)).filter("dst is not null")
     kind = F.when(F.col("l_returnflag") == "A", "calls").when(F.col("l_returnflag") == "R", "references").otherwise("instantiates")
     return pairs.select(
         F.col("l_partkey").alias("src"), "dst", kind.alias("kind"), F.col("l_linenumber").alias("line"),
@@ -132,12 +145,12 @@ def impact_radius(spark: SparkSession, d: str) -> DataFrame:
     return reached.groupBy("root").agg(F.count("*").alias("dependents"), F.count_if(F.col("depth") == 1).alias("direct"), F.count_distinct(F.substr("id", F.lit(1), F.lit(1))).alias("kinds"))
 
 
-def reach_forward(spark: SparkSession, d: str) -> DataFrame:
-    return graph.expand(part_edges(spark, d), _sources(spark, d)).select("id", "depth")
+def reach_forward(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:
+    return graph.expand(edges(spark, d), _sources(spark, d)).select("id", "depth")
 
 
-def reach_backward(spark: SparkSession, d: str) -> DataFrame:
-    return graph.expand(graph.backward_edges(part_edges(spark, d)), _sources(spark, d)).select("id", "depth")
+def reach_backward(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:
+    return graph.expand(graph.backward_edges(edges(spark, d)), _sources(spark, d)).select("id", "depth")
 
 
 def reach_scoped(spark: SparkSession, d: str) -> DataFrame:
@@ -145,23 +158,23 @@ def reach_scoped(spark: SparkSession, d: str) -> DataFrame:
     return graph.expansion(nodes, part_edges(spark, d), _sources(spark, d), "down", "main", 3).select("id", "depth")
 
 
-def shortest_path_len(spark: SparkSession, d: str) -> DataFrame:
+def shortest_path_len(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:
     seeds = _sources(spark, d).select(F.col("id").alias("source"), "id")
-    return graph.expand(part_edges(spark, d), seeds, 4, ("source",)).select("source", "id", F.col("depth").alias("hops"))
+    return graph.expand(edges(spark, d), seeds, 4, ("source",)).select("source", "id", F.col("depth").alias("hops"))
 
 
-def _stopped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _stopped(spark: SparkSession, d: str, edges: Edges) -> tuple[DataFrame, DataFrame]:
     members = table(spark, d, "part").filter(F.col("p_brand") == BRAND).select(F.col("p_partkey").alias("id"))
-    return graph.expand(part_edges(spark, d), _sources(spark, d), 6, (), members), members
+    return graph.expand(edges(spark, d), _sources(spark, d), 6, (), members), members
 
 
-def paths_with_barrier(spark: SparkSession, d: str) -> DataFrame:
-    reached, members = _stopped(spark, d)
+def paths_with_barrier(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:
+    reached, members = _stopped(spark, d, edges)
     return reached.join(members, "id", "left_semi").select("id", F.col("depth").alias("hops"))
 
 
-def unreached_members(spark: SparkSession, d: str) -> DataFrame:
-    reached, members = _stopped(spark, d)
+def unreached_members(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:
+    reached, members = _stopped(spark, d, edges)
     return members.join(reached, "id", "left_anti")
 
 
@@ -171,16 +184,16 @@ def member_paths(spark: SparkSession, d: str) -> DataFrame:
     return graph.member_paths(nodes, edges, nodes.filter("kind = 'class'"), targets, most=None).select("source", "target", "leaf", "hops")
 
 
-def callers_of(spark: SparkSession, d: str) -> DataFrame:
-    return graph.callers(part_edges(spark, d), _sources(spark, d), 2).select("id", "depth")
+def callers_of(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:
+    return graph.callers(edges(spark, d), _sources(spark, d), 2).select("id", "depth")
 
 
-def file_dependents(spark: SparkSession, d: str) -> DataFrame:
-    return graph.file_dependents(part_nodes(spark, d), part_edges(spark, d))
+def file_dependents(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:
+    return graph.file_dependents(part_nodes(spark, d), edges(spark, d))
 
 
-def graph_stats(spark: SparkSession, d: str) -> DataFrame:
-    return graph.graph_stats(part_nodes(spark, d), part_edges(spark, d))
+def graph_stats(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:
+    return graph.graph_stats(part_nodes(spark, d), edges(spark, d))
 
 
 def edge_label_case(spark: SparkSession, d: str) -> DataFrame:
@@ -214,6 +227,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         file_dependents, graph_stats, edge_label_case, file_lookup_tiered, literal_search, line_numbering,
     )
 }
+WHOLE = (reach_forward, reach_backward, shortest_path_len, paths_with_barrier, unreached_members, callers_of, file_dependents, graph_stats)
+QUERIES |= {f"whole_{f.__name__}": partial(f, edges=part_edges) for f in WHOLE}
 
 _NODES = f"""nodes AS (SELECT p_partkey AS id, (['class', 'interface', 'method', 'function', 'field', 'file'])[p_partkey % 6 + 1] AS kind,
   CASE WHEN p_partkey % 5 = 0 THEN p_name || ' cover' WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS name,
@@ -272,3 +287,4 @@ SELECT doc_id, line_no, line FROM x WHERE contains(line, '{LITERAL}') QUALIFY ro
     "line_numbering": """SELECT doc_id, array_to_string(list_transform(string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)),
  lambda x, i: CAST(i AS VARCHAR) || chr(9) || x), chr(10)) AS numbered FROM documents WHERE text IS NOT NULL""",
 }
+SQL |= {f"whole_{f.__name__}": SQL[f.__name__].replace(" WHERE l_quantity <= 10", "") for f in WHOLE}
