@@ -238,21 +238,25 @@ def clamp_depth(depth: int | None) -> int:
     return max(1, min(MAX_DEPTH, DEFAULT_DEPTH if depth is None else depth))
 
 
-def expand(steps: DataFrame, seeds: DataFrame, depth: int | None = None, keys: tuple[str, ...] = (), absorbing: DataFrame | None = None) -> DataFrame:
+def expand(steps: DataFrame, seeds: DataFrame, depth: int | None = None, keys: tuple[str, ...] = (), absorbing: DataFrame | None = None, paths: bool = True) -> DataFrame:
     """Everything within ``depth`` steps of the seeds (``id`` and key columns), by key.
 
-    Columns: keys, ``id``, ``depth`` (the least) and ``path`` (ids from the seed; of the shortest the
-    smallest). Nodes of ``absorbing`` (``id`` and key columns) are reached but not left; seeds among
+    Columns: keys, ``id``, ``depth`` (the least) and, with ``paths``, ``path`` (ids from the seed; of the
+    shortest the smallest). Nodes of ``absorbing`` (``id`` and key columns) are reached but not left; seeds among
     them are.
     """
-    visited = cut(seeds.select(*keys, "id", F.lit(0).alias("depth"), F.array("id").alias("path")).distinct())
+    path = ["path"] if paths else []
+    visited = cut(seeds.select(*keys, "id", F.lit(0).alias("depth"), F.array("id").alias("path")).select(*keys, "id", "depth", *path).distinct())
     frontier, hops = visited, steps.select("src", "dst").distinct()
     for level in range(1, clamp_depth(depth) + 1):
         if absorbing is not None and level > 1:
             frontier = frontier.join(absorbing.select(*keys, "id").distinct(), [*keys, "id"], "left_anti")
-        reached = frontier.join(hops, F.col("id") == F.col("src")).select(*keys, F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
-        first = reached.groupBy(*keys, "id").agg(F.min("path").alias("path")).withColumn("depth", F.lit(level))
-        frontier = cut(first.join(visited.select(*keys, "id"), [*keys, "id"], "left_anti").select(*keys, "id", "depth", "path"))
+        met = frontier.join(hops, F.col("id") == F.col("src"))
+        if paths:
+            first = met.select(*keys, F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path")).groupBy(*keys, "id").agg(F.min("path").alias("path"))
+        else:
+            first = met.select(*keys, F.col("dst").alias("id")).distinct()
+        frontier = cut(first.withColumn("depth", F.lit(level)).join(visited.select(*keys, "id"), [*keys, "id"], "left_anti").select(*keys, "id", "depth", *path))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)

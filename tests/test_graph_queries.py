@@ -43,3 +43,13 @@ def test_whole_graph_matches_brute_force(spark, star):
     assert ask("paths_with_barrier") == of({k: n for k, n in stopped.items() if k in barrier})
     assert ask("unreached_members") == sorted(((k,) for k in barrier - set(stopped)), key=repr)
     assert ask("file_dependents") == sorted({(f"src/main/Brand{b % 7}.java", f"src/main/Brand{a % 7}.java") for a, b in pairs if a % 7 != b % 7}, key=repr)
+
+
+def test_depth_of_scoped_and_shortest(spark, star):
+    d, pairs = star
+    pairs = {(a, b) for a, b in pairs}
+    lengths = sorted(((s, k, n) for s in range(100, 1001, 100) for k, n in hops(pairs, [s], 6).items()), key=repr)
+    assert max(n for *_, n in lengths) > 4 and rows_of(plans.QUERIES["whole_shortest_path_len"](spark, d)) == lengths
+    symbols = {(a, b) for a, b in pairs if b % 6 != 5}
+    scoped = sorted(((k, n) for k, n in hops(symbols, range(100, 1001, 100), 6).items() if n), key=repr)
+    assert max(n for _, n in scoped) > 3 and rows_of(plans.QUERIES["reach_scoped"](spark, d)) == scoped
