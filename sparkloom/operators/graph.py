@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.constants import CALLER_KINDS, CONTAINER_KINDS, DEFAULT_DEPTH, FORWARD_KINDS, IMPACT_DEPTH, KIND_ORDER, MAX_DEPTH, NEIGHBORS, NON_SYMBOL_KINDS, PATHS, ROUTES, TARGETS, TYPE_KINDS
+from sparkloom.constants import CALLER_KINDS, CONTAINER_KINDS, DEFAULT_DEPTH, FORWARD_KINDS, IMPACT_DEPTH, KIND_ORDER, MAX_DEPTH, NEIGHBORS, NON_SYMBOL_KINDS, PATHS, ROUTES, TYPE_KINDS
 from sparkloom.functions.paths import base_name, in_scope, lookup_form
 from sparkloom.session import cut
 
@@ -242,7 +242,7 @@ def expand(steps: DataFrame, seeds: DataFrame, depth: int | None = None, keys: t
     """Everything within ``depth`` steps of the seeds (``id`` and key columns), by key.
 
     Columns: keys, ``id``, ``depth`` (the least) and, with ``paths``, ``path`` (ids from the seed; of the
-    shortest the smallest). Nodes of ``absorbing`` (``id`` and key columns) are reached but not left; seeds among
+    shortest the smallest). Nodes of ``absorbing`` (``id`` and any key columns) are reached but not left; seeds among
     them are.
     """
     path = ["path"] if paths else []
@@ -250,7 +250,8 @@ def expand(steps: DataFrame, seeds: DataFrame, depth: int | None = None, keys: t
     frontier, hops = visited, steps.select("src", "dst").distinct()
     for level in range(1, clamp_depth(depth) + 1):
         if absorbing is not None and level > 1:
-            frontier = frontier.join(absorbing.select(*keys, "id").distinct(), [*keys, "id"], "left_anti")
+            on = [c for c in (*keys, "id") if c in absorbing.columns]
+            frontier = frontier.join(absorbing.select(*on).distinct(), on, "left_anti")
         met = frontier.join(hops, F.col("id") == F.col("src"))
         if paths:
             first = met.select(*keys, F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path")).groupBy(*keys, "id").agg(F.min("path").alias("path"))
@@ -303,22 +304,23 @@ def routes(nodes: DataFrame, scope: str = "all", most: int = ROUTES) -> DataFram
     return nodes.filter((F.col("kind") == "route") & in_scope(F.col("file_path"), scope)).orderBy("file_path", "start_line", "id").limit(most)
 
 
-def member_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, targets: DataFrame, scope: str = "all", depth: int | None = None, most: int | None = PATHS, max_targets: int = TARGETS, max_sources: int = ROUTES) -> DataFrame:
+def member_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, targets: DataFrame, scope: str = "all", depth: int | None = None, most: int | None = PATHS, max_targets: int | None = None, max_sources: int | None = None) -> DataFrame:
     """Shortest paths from each source (and its members) to each leaf of each target: ``source``,
     ``target``, ``leaf``, ``hops`` and ``path``.
 
     The leaves of a target stop each other: a path ends at the first it meets, so they are absorbing in
-    one traversal per source and target. The question is asked of at most ``max_sources`` sources and
-    ``max_targets`` targets; ``most`` limits the paths shown, shortest first, and None gives all.
+    one traversal per source and target. All are asked unless ``max_sources`` or ``max_targets`` is given
+    (``ROUTES`` and ``TARGETS`` for a report on ``@http``); ``most`` limits the paths shown, shortest first,
+    and None gives all.
     """
-    sources, targets = sources.orderBy("id").limit(max_sources), targets.orderBy("id").limit(max_targets)
+    sources, targets = (rows.orderBy("id").limit(n) if n is not None else rows for rows, n in ((sources, max_sources), (targets, max_targets)))
     leaves = callable_members(nodes, edges, targets).withColumnRenamed("id", "leaf")
-    pairs = sources.select(F.col("id").alias("source")).distinct().join(F.broadcast(targets.select(F.col("id").alias("target")).distinct()))
+    pairs = sources.select(F.col("id").alias("source")).distinct().crossJoin(targets.select(F.col("id").alias("target")).distinct())
     members = with_members_of(nodes, edges, sources)
     seeds = pairs.join(members, "source").select("source", "target", "id")
-    absorbing = pairs.join(leaves, "target").select("source", "target", F.col("leaf").alias("id"))
+    absorbing = leaves.select("target", F.col("leaf").alias("id"))
     reached = expand(traversable(nodes, forward_edges(nodes, edges), scope), seeds, depth, ("source", "target"), absorbing)
-    found = reached.join(absorbing, ["source", "target", "id"], "left_semi").select("source", "target", F.col("id").alias("leaf"), F.col("depth").alias("hops"), "path")
+    found = reached.join(absorbing, ["target", "id"], "left_semi").select("source", "target", F.col("id").alias("leaf"), F.col("depth").alias("hops"), "path")
     return found.orderBy("hops", "source", "target", "leaf").limit(most) if most else found
 
 

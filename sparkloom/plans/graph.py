@@ -180,9 +180,11 @@ def unreached_members(spark: SparkSession, d: str, edges: Edges = small_edges) -
 
 
 def member_paths(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = place_nodes(spark, d), place_edges(spark, d).unionByName(order_edges(spark, d).filter("dst like 'n%'"))
-    targets = nodes.filter("id in ('n1', 'n2', 'n3')")
-    return graph.member_paths(nodes, edges, nodes.filter("kind = 'class'"), targets, most=None).select("source", "target", "leaf", "hops")
+    """From every nation and the orders divisible by 100 to the customers of every nation."""
+    nodes, edges = place_nodes(spark, d), place_edges(spark, d).unionByName(order_edges(spark, d))
+    nations = nodes.filter("kind = 'class'")
+    orders = table(spark, d, "orders").filter("o_orderkey % 100 = 0").selectExpr("concat('o', o_orderkey) id")
+    return graph.member_paths(nodes, edges, nations.select("id").unionByName(orders), nations, most=None).select("source", "target", "leaf", "hops")
 
 
 def callers_of(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:

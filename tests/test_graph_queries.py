@@ -53,3 +53,16 @@ def test_depth_of_scoped_and_shortest(spark, star):
     symbols = {(a, b) for a, b in pairs if b % 6 != 5}
     scoped = sorted(((k, n) for k, n in hops(symbols, range(100, 1001, 100), 6).items() if n), key=repr)
     assert max(n for _, n in scoped) > 3 and rows_of(plans.QUERIES["reach_scoped"](spark, d)) == scoped
+
+
+def test_paths_of_every_source_and_target(spark, make, tmp_path):
+    d = str(tmp_path)
+    write = lambda name, rows, schema: make(rows, schema).write.parquet(f"{d}/{name}.parquet")
+    write("region", [(0, "R")], "r_regionkey int, r_name string")
+    write("nation", [(n, f"N{n}", 0) for n in range(40)], "n_nationkey int, n_name string, n_regionkey int")
+    write("customer", [(c, f"C{c}", c % 40) for c in range(80)], "c_custkey int, c_name string, c_nationkey int")
+    write("supplier", [(0, "S", 0)], "s_suppkey int, s_name string, s_nationkey int")
+    write("orders", [(o, o % 80) for o in range(0, 1000, 50)], "o_orderkey int, o_custkey int")
+    own = {(f"n{c % 40}", f"n{c % 40}", f"c{c}", 0) for c in range(80)}
+    made = {(f"o{o}", f"n{o % 80 % 40}", f"c{o % 80}", 1) for o in range(0, 1000, 100)}
+    assert rows_of(plans.QUERIES["member_paths"](spark, d)) == sorted(own | made, key=repr)
