@@ -1,17 +1,18 @@
 """Pages made of repeated keywords, bare links or product tags instead of sentences.
 
-Two measures of a page are combined:
-
-* Clause structure. A page is cut into segments. Links (URLs, anchors, wiki links) and tags are taken
-  out; what is left of a segment is a clause if it runs on without list separators, has a word of a
-  closed class and keeps an order: keywords strewn at random come in either order and beside
-  themselves, words of a sentence do not. In scripts without spaces a long run (for Japanese with hiragana) is a clause. Code and rows
-  of figures are neither clauses nor keywords.
-* Coverage. The suffix automaton of what lies outside clauses (on pages with enough of it to be a case),
-  over its words with every link and tag as a symbol, tells the longest repeated substring that ends at each position; their union over the
-  length is the share of characters covered by maximal repeats.
-
-A page is a case if most of its mass is keywords, links and tags and these are covered by repeats.
+The suffix automaton of the whole page, with the words of its links, the characters of its tags and its
+marks, gives both measures that decide; no list of words of any language is used.
+
+* Coverage. The automaton tells the longest repeated substring that ends at each position; a place is
+  covered if such a substring of at least ``LEAST_REPEAT`` characters runs over it.
+* Clause structure. A page is cut into segments at line ends and sentence ends. A segment of short
+  pieces between separators, links or tags leaves no room for a clause. A longer one is a clause if it
+  keeps an order: two neighbours are free if the automaton also knows them the other way round, or
+  beside themselves; words of sentences rarely are, keywords strewn at random mostly. A segment's share
+  of free neighbours is smoothed by that of its page. Scripts without spaces are read by character.
+
+A page is a case if the covered part of what lies outside clauses is at least ``SHARE`` of its mass. Code
+and rows of figures count as mass, but neither as clauses nor as keywords; they are told by their marks.
 Every page is measured whole, in one narrow pass; nothing is compared between pages.
 
 Defined cases: null, empty and blank texts have no mass and are no case; repeated rows give one id;
@@ -21,138 +22,132 @@ texts of any length are read whole.
 from __future__ import annotations
 
 import html
-import itertools
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Share of a page's mass in keywords, links and tags, and of these covered by repeats, from which on it is a case.
-MASS_SHARE = 0.5
-COVERAGE = 0.2
-#: Words that a link or tag weighs beside its own words, and least mass of a case.
-LINK_WEIGHT = 4
-LEAST_MASS = 12
-#: Share of neighbouring words found in either order from which on a segment is no clause.
-DISORDER = 0.25
-#: Share of them on a whole page from which on a segment without a word that makes a clause is none.
-STREWN = 0.08
-#: Least length of a repeat in characters.
+#: Share of a page's mass that lies outside clauses and in repeats from which on it is a case.
+SHARE = 0.45
+#: Least length of a repeat in characters; a character of a script without spaces counts as two.
 LEAST_REPEAT = 4
-
-#: Words of closed classes, by language: en, de, es, fr, pt, ru (fixed values).
-FUNCTION_WORDS = frozenset(
-    "a an the this that these we they it he she i you who what which nobody somebody our their its is are was were be has have had do does can could will would must may to of in on at by for from with without and or but as if when while until unless because so than about into not no only "
-    "der die das den dem des ein eine einen einem wir sie er es ich du ist sind war hat haben wird werden kann muss zu von im in auf bei mit ohne und oder aber als wenn während bis weil nicht nur trotz vor nach wegen "
-    "el la los las un una unos nosotros ellos se es son fue ha han puede debe de del al en con sin y o pero como si cuando mientras hasta porque no por para pese antes después cada nuestro "
-    "le les l' une des du au aux nous ils elles on est sont a ont peut doit à dans sur avec sans et ou mais comme quand tant que qui ne pas pour par malgré avant chaque notre ce cette "
-    "o os as um uma ao aos da do das dos nós eles são foi tem pode deve em no na nos nas com sem e ou mas quando enquanto até porque não por apesar cada nossa "
-    "и в во на с со к у о от до из за по не ни что как если когда пока для это этот мы он она они наш его её был была есть несмотря после перед из-за без каждую все".split()
-)
-
-#: Those of them that hardly stand between keywords: pronouns, auxiliaries, negations, conjunctions of clauses.
-CLAUSE_WORDS = FUNCTION_WORDS - frozenset(
-    "a an the of to in on at by for from with and or der die das den dem des ein eine einen einem zu von im auf bei mit und oder aus für "
-    "el la los las un una unos de del al en con y o para por le les des du au aux à dans sur avec et ou pour par o os as um uma ao aos da do das dos em no na nos nas com e и в на с со к у о от до из за по для".split()
-)
-
-LINK, TAG, LINK_END = "\x02", "\x04", "\x03"
-
+#: Share of free neighbours from which on a segment keeps no order, and the weight of the page's own
+#: share in it, in pairs of neighbours.
+FREE = 0.1
+PRIOR = 8
+#: Least words of a clause, and least characters of one in a script without spaces.
+CLAUSE_WORDS = 5
+CLAUSE_CHARACTERS = 7
+#: Most words between two separators, on average, of a list.
+PIECE_WORDS = 3.2
+#: Share of a page's lines with marks of code from which on its lines without a clause are code, too.
+CODE_LINES = 0.25
+
+LINK, TAG, ITEM_END = "\x02", "\x04", "\x03"
+#: Kinds of segments whose neighbouring words are compared.
+IN_WORDS = ("running", "short", "listed")
+
+_WIDE_CLASS = "぀-ヿ㐀-鿿"
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
-_ANCHOR = re.compile(r"<a\b[^<>]*>(.*?)</a\s*>", re.I | re.S)
+_ANCHOR = re.compile(r"<a\b([^<>]*)>(.*?)</a\s*>", re.I | re.S)
+_HREF = re.compile(r"href\s*=\s*[\"']?([^\"'\s]*)", re.I)
 _BLOCK = re.compile(r"</?(?:p|h\d|li|ul|ol|div|br|tr|td|th|table|html|body|head|title|nav)\b[^<>]*>", re.I)
 _ELEMENT = re.compile(r"</?[A-Za-z][^<>\n]*>")
 _WIKI = re.compile(r"\[\[([^\[\]\n]*)\]\]")
-_MARKDOWN = re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]*\)")
+_MARKDOWN = re.compile(r"!?\[([^\[\]\n]*)\]\(([^()\s]*)\)")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>()\x02\x03]+")
-_HASHTAG = re.compile(r"(?<![\w&])[#@]([\w-]*[^\W\d_][\w-]*)|(?<![\w/`.])[a-z]{2,12}:([^\W_][\w-]*)")
+_TAGS = re.compile(r"(?<![\w&])[#@][\w-]*[^\W\d_][\w-]*|(?<![\w/`.])[a-z]{2,12}:[^\W_][\w-]*")
 _TAGGED = re.compile(r"[#@:]\w")
-_FRONT_TAGS = re.compile(r"^\s*(?:tags|keywords)\s*:\s*\[?", re.I)
-_FRONT_KEY = re.compile(r"^\s*[a-z_]+\s*:\s*\S*\s*$")
-_ITEM = re.compile("[\x02\x04]([^\x03]*)\x03")
+_ITEM = re.compile("([\x02\x04])([^\x03]*)\x03")
+_ITEMS = re.compile("([\x02\x04][^\x03]*\x03)")
 _FIGURES = re.compile(r"^\s*\|.*\|\s*$|^[\s\d.,;:|%+-]+$")
-_CODE_START = re.compile(r"(?:import|from|def|class|return|if|else|elif|for|while|const|let|var|export|function|package|public|private|func|fn|use|require|try|with)\b.*[\W_](?:\w+[.:;]?)?$|[\w.]+\([^()]*\)\s*$|\$ |//|/\*|\*/|\"\"\"")
-_ASSIGNED = re.compile(r"\w\s*[-+]?=\s*\S")
+_FRONT_LIST = re.compile(r"^\s*[\w-]+\s*:\s*(?=\[|[^,]*,)")
+_CODE = re.compile(r"[{}=\\]|[A-Za-z0-9_\])]\(|//|/\*|\*/|\"\"\"|->|::|\w\[|^\s*\$ ")
 _SENTENCE_END = re.compile(r"[.!?…]+(?=\s|$|[)\"'»”])|[。！？]+")
-_SEPARATOR = re.compile(r"\s*(?:[,|·»>•;、，/]|\s[-–—~]\s)\s*")
+_SEPARATOR = re.compile(r"\s*(?:[,;|·»>•、，/]|\s[-–—~]\s|[^\S\n]{2,}|\t)\s*")
+_SEPARATORS = re.compile(r"[,;|·»>•、，/–—~-]|\S[^\S\n]{2,}|\t")
+_WIDE = re.compile(f"[{_WIDE_CLASS}]")
+_WIDE_RUN = re.compile(f"[{_WIDE_CLASS}]+")
 _WORD = re.compile(r"[^\W_]+(?:['’_-][^\W_]+)*")
-_WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
-_WIDE_RUN = re.compile(r"[぀-ヿ㐀-鿿]{7}")
-_SEPARATORS = re.compile(r"[,|·»>•;、，/–—~-]")
-_ITEM_WORD = re.compile(r"[^\W_]+")
-_HIRAGANA = re.compile(r"[ぁ-ゖ]")
+_TOKEN = re.compile(rf"[{_WIDE_CLASS}]|[^\W_{_WIDE_CLASS}]+(?:['’_-][^\W_{_WIDE_CLASS}]+)*|[^\w\s]")
+_LINK_TOKEN = re.compile(rf"[{_WIDE_CLASS}]|[^\W_{_WIDE_CLASS}]+|[^\w\s]")
 
 
 class SuffixAutomaton:
     """Suffix automaton of a sequence of symbols."""
 
     def __init__(self, symbols: list[int]) -> None:
-        self.length, self.link, self.ends = [0], [-1], [0]
-        self.at: list[int] = []
-        following: list[dict[int, int]] = [{}]
-        last = 0
-        for s in symbols:
-            new = len(self.length)
-            self.length.append(self.length[last] + 1)
-            self.link.append(0)
-            self.ends.append(1)
-            following.append({})
-            p = last
-            while p >= 0 and s not in following[p]:
-                following[p][s] = new
-                p = self.link[p]
-            if p >= 0:
-                q = following[p][s]
-                if self.length[p] + 1 == self.length[q]:
-                    self.link[new] = q
-                else:
-                    clone = len(self.length)
-                    self.length.append(self.length[p] + 1)
-                    self.link.append(self.link[q])
-                    self.ends.append(0)
-                    following.append(following[q].copy())
-                    while p >= 0 and following[p].get(s) == q:
-                        following[p][s] = clone
-                        p = self.link[p]
-                    self.link[q] = self.link[new] = clone
-            last = new
-            self.at.append(new)
-        order = sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True)
-        for state in order:
-            self.ends[self.link[state]] += self.ends[state]
+        most = 2 * len(symbols) + 1
+        length, link, following = [0] * most, [0] * most, [None] * most
+        link[0], following[0] = -1, {}
+        at, last, states = [0] * len(symbols), 0, 1
+        for i, s in enumerate(symbols):
+            new, p = states, last
+            states += 1
+            length[new] = length[last] + 1
+            following[new] = {}
+            while p >= 0:
+                there = following[p]
+                if s in there:
+                    q = there[s]
+                    if length[p] + 1 == length[q]:
+                        link[new] = q
+                    else:
+                        clone = states
+                        states += 1
+                        length[clone] = length[p] + 1
+                        link[clone] = link[q]
+                        following[clone] = following[q].copy()
+                        link[q] = link[new] = clone
+                        while p >= 0 and there.get(s) == q:
+                            there[s] = clone
+                            p = link[p]
+                            there = following[p]
+                    break
+                there[s] = new
+                p = link[p]
+            at[i] = last = new
+        self.length, self.link, self.following, self.at = length, link[:states], following, at
 
     def repeats(self) -> Iterator[int]:
-        """Length of the longest substring that ends at each position and occurs at least twice."""
-        for state in self.at:
-            while state > 0 and self.ends[state] < 2:
-                state = self.link[state]
-            yield self.length[state]
+        """Length of the longest substring that ends at each position and occurs at least twice.
 
+        A state occurs more than once if another is linked to it, as is that to which any state is linked.
+        """
+        linked, length, link = set(self.link), self.length, self.link
+        return (length[s] if s in linked else length[link[s]] for s in self.at)
 
-def repeat_coverage(tokens: list[str], least: int = LEAST_REPEAT) -> float:
-    """Share of the characters of ``tokens`` that lie in repeated substrings of ``least`` characters or more.
+    def after(self, symbol: int) -> dict[int, int]:
+        """The symbols that follow a symbol somewhere."""
+        return self.following[self.following[0][symbol]]
 
-    Scripts without spaces are read character by character, each as wide as two.
-    """
-    if not tokens:
-        return 0.0
-    tokens = [t for token in tokens for t in (token if _WIDE.match(token) else (token,))]
-    number: dict[str, int] = {}
-    symbols = [number.setdefault(t, len(number)) for t in tokens]
-    covered, start = 0, len(tokens)
-    sizes = [2 if _WIDE.match(t) else len(t) for t in tokens]
-    longest = list(SuffixAutomaton(symbols).repeats())
-    for i in range(len(tokens) - 1, -1, -1):
-        if longest[i] and sum(sizes[i - longest[i] + 1 : i + 1][:least]) >= least:
-            start = min(start, i - longest[i] + 1)
-        if i >= start:
-            covered += sizes[i]
-    return covered / max(1, sum(sizes))
+
+class Segment(NamedTuple):
+    """A piece of a page: tokens ``start`` to ``end`` of a line."""
+
+    kind: str  # running, short, listed, item, code or head
+    line: int
+    start: int
+    end: int
+
+
+def _outside_items(pattern: re.Pattern, form: Callable[[re.Match], str], text: str) -> str:
+    if ITEM_END not in text:
+        return pattern.sub(form, text)
+    return "".join(p if p.endswith(ITEM_END) else pattern.sub(form, p) for p in _ITEMS.split(text))
+
+
+def _anchored(match: re.Match) -> str:
+    target = _HREF.search(match[1])
+    label = _ELEMENT.sub(" ", match[2]).replace("\n", " ")
+    return f"{LINK}{label} {target[1] if target else ''}{ITEM_END}"
 
 
 def _marked(text: str) -> str:
@@ -161,133 +156,154 @@ def _marked(text: str) -> str:
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     if "<" in text:
-        text = _ANCHOR.sub(f"{LINK}\\1{LINK_END}", text)
-        text = _ELEMENT.sub(" ", _BLOCK.sub("\n", text))
+        text = _ELEMENT.sub(" ", _BLOCK.sub("\n", _ANCHOR.sub(_anchored, text)))
     if "&" in text:
         text = html.unescape(text)
     if "[" in text:
-        text = _MARKDOWN.sub(f"{LINK}\\1{LINK_END}", _WIKI.sub(f"{LINK}\\1{LINK_END}", text))
+        text = _MARKDOWN.sub(f"{LINK}\\1 \\2{ITEM_END}", _WIKI.sub(f"{LINK}\\1{ITEM_END}", text))
     if "://" in text or "www." in text:
-        text = _URL.sub(f"{LINK}{LINK_END}", text)
+        text = _outside_items(_URL, lambda m: f"{LINK}{m[0]}{ITEM_END}", text)
     if _TAGGED.search(text):
-        text = _HASHTAG.sub(f"{TAG}\\1\\2{LINK_END}", text)
+        text = _outside_items(_TAGS, lambda m: f"{TAG}{m[0]}{ITEM_END}", text)
     return text
 
 
-def _wide_clause(word: str) -> bool:
-    """A run without spaces that reads as a clause."""
-    if len(word) < 7 or not _WIDE.search(word):
-        return False
-    if _HIRAGANA.search(word):
+def _is_list(segment: str, words: list[str], tagged: bool) -> bool:
+    """Short pieces between separators. In scripts without spaces a space is one."""
+    wide = sum(map(len, runs := _WIDE_RUN.findall(segment))) if not segment.isascii() else 0
+    if tagged and len(_WORD.findall(segment)) <= 8:
         return True
-    pairs = [word[i : i + 2] for i in range(len(word) - 1)]
-    return not re.search(r"[゠-ヿ]", word) and len(set(pairs)) >= 0.9 * len(pairs)
-
-
-def _weight(words: list[str]) -> float:
-    """Words count one; a run of a script without spaces counts one for every two characters."""
-    if "".join(words).isascii():
-        return len(words)
-    return sum(1 if w.isascii() or len(w) < 4 or not _WIDE.search(w) else len(w) / 2 for w in words)
-
+    if 2 * wide > len(words):
+        long = sum(len(r) for r in runs if len(r) >= CLAUSE_CHARACTERS)
+        return 2 * long < wide or (len(runs) >= 4 and wide < CLAUSE_CHARACTERS * len(runs))
+    pieces = len(_SEPARATORS.findall(segment)) + 1
+    if pieces >= 4:
+        pieces = sum(1 for p in _SEPARATOR.split(segment) if p.strip(" -*+#>|"))
+    return pieces >= 4 and len(words) <= PIECE_WORDS * pieces
 
-def _without_returns(words: list[str]) -> list[str]:
-    """Words without those that only return after one other, as in "rank the early rank"."""
-    return [w for i, w in enumerate(words) if i < 2 or w != words[i - 2] or w == words[i - 1]]
 
-
-def measure(text: str | None) -> tuple[float, float, float, float]:
-    """Mass of clauses, of keywords, links and tags, of code and figures, and the coverage by repeats of
-    what lies outside clauses."""
-    if not text or text.isspace():
-        return 0.0, 0.0, 0.0, 0.0
-    clauses = stuffed = other = 0.0
+def read_page(text: str) -> tuple[list[str], list[Segment]]:
+    """All tokens of a page in order, and its segments."""
     tokens: list[str] = []
-    running: list[list[str]] = []
-    fenced = front = False
+    segments: list[Segment] = []
+    fenced = front = begun = False
     for n, line in enumerate(_marked(text).split("\n")):
-        bare = line.strip()
+        bare, start = line.strip(), len(tokens)
         if not bare:
             continue
+        has_items = ITEM_END in line
         if bare.startswith("```"):
             fenced = not fenced
+        elif bare == "---":
+            front = not begun and not front
+        elif front and not (listing := _FRONT_LIST.match(bare)):
+            pass
+        elif not fenced and not (bare[0] == "#" and not has_items):
+            begun = begun or not front
+            if front:
+                line = bare[listing.end() :]
+            if _is_figures(bare) or (not has_items and not front and _CODE.search(bare)):
+                tokens += _TOKEN.findall(bare.lower())
+                segments.append(Segment("code", n, start, len(tokens)))
+            else:
+                _read_line(line, n, tokens, segments)
+            tokens.append("\n")
             continue
-        if bare == "---":
-            front = n == 0 or (not front and not (clauses or stuffed or other or running))
-            continue
-        if fenced or _FIGURES.match(bare):
-            words = _WORD.findall(bare)
-            digits = sum(w[0].isdigit() for w in words)
-            if fenced or 4 * digits >= len(words) or set(bare) <= set("|-: "):
-                other += len(words)
-                continue
-        if _FRONT_TAGS.match(bare):
-            words = _WORD.findall(bare.partition(":")[2].lower())
-            stuffed += len(words)
-            tokens += [t for w in words for t in (w, " ")]
-            continue
-        if front and _FRONT_KEY.match(bare):
-            continue
-        items, linked, said = _ITEM.findall(line) if LINK_END in line else [], 0, 0
-        tagged = line if items else ""
-        if items:
-            line = _ITEM.sub(" , ", line)
-            for item in items:
-                words = _ITEM_WORD.findall(item.lower())
-                linked += LINK_WEIGHT + min(len(words), 4)
-                tokens += ["\x02link", *words, "\x03"]
-        elif bare[-1] in ";{}" or _CODE_START.match(bare) or ("=" in bare and _ASSIGNED.search(bare)):
-            other += len(_WORD.findall(bare))
-            continue
-        if bare.startswith("#") and not items:
+        tokens += _TOKEN.findall(bare.lower())
+        tokens.append("\n")
+        segments.append(Segment("code" if fenced else "head", n, start, len(tokens)))
+    return tokens, segments
+
+
+def _is_figures(line: str) -> bool:
+    if not _FIGURES.match(line):
+        return False
+    words = _WORD.findall(line)
+    return 4 * sum(w[0].isdigit() for w in words) >= len(words) or set(line) <= set("|-: ")
+
+
+def _read_line(line: str, n: int, tokens: list[str], segments: list[Segment]) -> None:
+    """Add the items and segments of a line."""
+    tagged = TAG in line
+    for mark, inner in _ITEM.findall(line) if ITEM_END in line else ():
+        start = len(tokens)
+        tokens.append(mark)
+        tokens += inner.lower() if mark == TAG else _LINK_TOKEN.findall(inner.lower())
+        tokens.append(ITEM_END)
+        segments.append(Segment("item", n, start, len(tokens)))
+    plain = _ITEM.sub(" , ", line) if ITEM_END in line else line
+    for segment in _SENTENCE_END.split(plain):
+        own = _TOKEN.findall(segment.lower())
+        words = [t for t in own if t[0].isalnum()]
+        if words:
+            kind = "listed" if _is_list(segment, words, tagged) else "running" if len(words) >= CLAUSE_WORDS else "short"
+            segments.append(Segment(kind, n, len(tokens), len(tokens) + len(own)))
+            tokens += own
+            tokens.append(".")
+
+
+def covered_places(automaton: SuffixAutomaton, sizes: list[int], least: int = LEAST_REPEAT) -> bytearray:
+    """1 for each position that lies in a repeated substring of ``least`` characters or more."""
+    covered, start = bytearray(len(sizes)), len(sizes)
+    upto = [0, *accumulate(sizes)]
+    repeats = list(automaton.repeats())
+    for i in range(len(sizes) - 1, -1, -1):
+        begin = i - repeats[i] + 1
+        if begin < start and upto[i + 1] - upto[begin] >= least:
+            start = begin
+        covered[i] = i >= start
+    return covered
+
+
+def measure(text: str | None) -> tuple[float, float, float, float, float]:
+    """Mass of clauses, of what lies outside them, and of code and figures (in words); the share of the
+    second covered by repeats; and the page's share of free neighbours."""
+    if not text or text.isspace():
+        return 0.0, 0.0, 0.0, 0.0, 0.0
+    tokens, segments = read_page(text)
+    number: dict[str, int] = {}
+    symbols = [number.setdefault(t, len(number)) for t in tokens]
+    automaton = SuffixAutomaton(symbols)
+    wide = [False] * len(number) if text.isascii() else [_WIDE.match(t) is not None for t in number]
+    size_of = [2 if w else len(t) for t, w in zip(number, wide)]
+    word_of = [t[0].isalnum() for t in number]
+    weight_of = [0.5 if w else 1.0 if word else 0.0 for w, word in zip(wide, word_of)]
+    sizes = [size_of[s] for s in symbols]
+    covered = covered_places(automaton, sizes)
+    mass_to = [0.0, *accumulate([weight_of[s] for s in symbols])]
+    size_to = [0, *accumulate(sizes)]
+    repeated_to = [0, *accumulate([n if c else 0 for n, c in zip(sizes, covered)])]
+
+    after = [automaton.after(s) if word else {} for s, word in enumerate(word_of)]
+    pairs_to = [0, *accumulate([word_of[a] and word_of[b] for a, b in zip(symbols, symbols[1:])])]
+    free_to = [0, *accumulate([word_of[a] and (a in after[b] or a == b) for a, b in zip(symbols, symbols[1:])])]
+    orders = [(pairs_to[end - 1] - pairs_to[start], free_to[end - 1] - free_to[start]) if kind in IN_WORDS else (0, 0) for kind, _, start, end in segments]
+    all_pairs, all_free = sum(p for p, _ in orders), sum(f for _, f in orders)
+    disorder = all_free / all_pairs if all_pairs else 0.0
+    clause = [s.kind == "running" and free + PRIOR * disorder < FREE * (pairs + PRIOR) for s, (pairs, free) in zip(segments, orders)]
+    clauses_of = Counter(s.line for s, is_clause in zip(segments, clause) if is_clause)
+    items_of = Counter(s.line for s in segments if s.kind == "item")
+    mostly_code = len({s.line for s in segments if s.kind == "code"}) >= CODE_LINES * len({s.line for s in segments})
+
+    clauses = outside = other = 0.0
+    characters = repeated = 0
+    for (kind, line, start, end), is_clause in zip(segments, clause):
+        if kind == "head":
             continue
-        for segment in _SENTENCE_END.split(line):
-            words = _WORD.findall(segment.lower())
-            if not words:
-                continue
-            if not segment.isascii() and _WIDE_RUN.search(segment) and any(_wide_clause(w) for w in words if len(words) < 4 or len(w) > 8):
-                clauses += _weight(words)
-                said += 1
-                continue
-            if TAG in tagged and len(words) <= 8:
-                stuffed += _weight(words)
-                tokens += [t for w in words for t in (w, " ")]
-                continue
-            pieces = len(_SEPARATORS.findall(segment)) + 1
-            if pieces >= 4:
-                pieces = sum(1 for p in _SEPARATOR.split(segment) if p.strip(" -*+#>|"))
-            if pieces >= 4 and len(words) <= 3.2 * pieces:
-                stuffed += _weight(words)
-                tokens += [t for w in words for t in (w, " ")]
-            elif len(words) >= 3 or not items:
-                running.append(words)
-                said += len(words) > 4
-        if len(items) > 2 * said:
-            stuffed += linked
-    content = [_without_returns([w for w in words if w not in FUNCTION_WORDS]) for words in running]
-    pairs = {pair for words in content for pair in zip(words, words[1:])}
-    either = {p for p in pairs if p[0] == p[1] or p[::-1] in pairs}
-    counts = Counter(itertools.chain.from_iterable(content))
-    disorders = [sum(p in either for p in zip(own, own[1:])) if either else 0 for own in content]
-    strewn = sum(disorders) >= STREWN * sum(max(0, len(own) - 1) for own in content) > 0
-    for words, own, disorder in zip(running, content, disorders):
-        if len(words) > 2 and FUNCTION_WORDS.isdisjoint(words):
-            keywords = 2 * sum(counts[w] > 1 for w in own) >= len(own)
-        elif strewn and CLAUSE_WORDS.isdisjoint(words):
-            keywords = True
+        tag = kind == "item" and tokens[start] == TAG
+        mass = float(len(_WORD.findall("".join(tokens[start:end])))) if tag else mass_to[end] - mass_to[start]
+        if is_clause or (kind == "item" and items_of[line] <= 2 * clauses_of[line]):
+            clauses += mass
+        elif kind == "code" or (mostly_code and kind != "item"):
+            other += mass
         else:
-            keywords = disorder > 0 and disorder >= DISORDER * (len(own) - 1)
-        if keywords:
-            stuffed += _weight(words)
-            tokens += [t for w in words for t in (w, " ")]
-        elif len(words) < 3:
-            other += len(words)
-        else:
-            clauses += _weight(words)
-    return clauses, stuffed, other, repeat_coverage(tokens) if stuffed >= LEAST_MASS else 0.0
+            outside += mass
+            characters += size_to[end] - size_to[start]
+            repeated += repeated_to[end] - repeated_to[start]
+    return clauses, outside, other, repeated / characters if characters else 0.0, disorder
 
 
-MEASURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("clauses", "stuffed", "other", "coverage")])
+MEASURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("clauses", "stuffed", "other", "coverage", "disorder")])
 
 
 def page_measures(text: Column) -> Column:
@@ -302,8 +318,12 @@ def page_measures(text: Column) -> Column:
     return measured(text)
 
 
+def is_stuffed(stuffed: Column, coverage: Column, mass: Column, share: float = SHARE) -> Column:
+    """The repeats outside clauses make up the share of the mass."""
+    return (mass > 0) & (stuffed * coverage >= share * mass)
+
+
 def stuffed_pages(documents: DataFrame) -> DataFrame:
     """Pages (``doc_id``) that are cases, with their measures."""
     m = documents.select("doc_id", page_measures(F.col("text")).alias("m")).select("doc_id", "m.*")
-    mass = F.col("clauses") + F.col("stuffed") + F.col("other")
-    return m.filter((F.col("stuffed") >= LEAST_MASS) & (F.col("stuffed") >= MASS_SHARE * mass) & (F.col("coverage") >= COVERAGE))
+    return m.filter(is_stuffed(F.col("stuffed"), F.col("coverage"), F.col("clauses") + F.col("stuffed") + F.col("other")))
