@@ -21,14 +21,14 @@ texts of any length are read whole.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
-from itertools import accumulate
-from typing import NamedTuple
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,8 +51,6 @@ PIECE_WORDS = 3.2
 CODE_LINES = 0.25
 
 LINK, TAG, ITEM_END = "\x02", "\x04", "\x03"
-#: Kinds of segments whose neighbouring words are compared.
-IN_WORDS = ("running", "short", "listed")
 
 _WIDE_CLASS = "぀-ヿ㐀-鿿"
 _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
@@ -69,43 +67,70 @@ _ITEM = re.compile("([\x02\x04])([^\x03]*)\x03")
 _ITEMS = re.compile("([\x02\x04][^\x03]*\x03)")
 _FIGURES = re.compile(r"^\s*\|.*\|\s*$|^[\s\d.,;:|%+-]+$")
 _FRONT_LIST = re.compile(r"^\s*[\w-]+\s*:\s*(?=\[|[^,]*,)")
+_CODE_MARK = re.compile(r"[{}=\\(\[]|//|/\*|\*/|\"\"\"|->|::|\$ ")
 _CODE = re.compile(r"[{}=\\]|[A-Za-z0-9_\])]\(|//|/\*|\*/|\"\"\"|->|::|\w\[|^\s*\$ ")
 _SENTENCE_END = re.compile(r"[.!?…]+(?=\s|$|[)\"'»”])|[。！？]+")
 _SEPARATOR = re.compile(r"\s*(?:[,;|·»>•、，/]|\s[-–—~]\s|[^\S\n]{2,}|\t)\s*")
-_SEPARATORS = re.compile(r"[,;|·»>•、，/–—~-]|\S[^\S\n]{2,}|\t")
+_SEPARATORS = re.compile(r"[,;|·»>•、，/–—~-]|[^\S\n]{2,}|\t")
+_PLAIN_SEPARATORS = re.compile(r"[,;|>/~-]|  +|\t")
+_PLAIN_END = re.compile(r"[.!?]+(?=\s|$|[)\"'])")
 _WIDE = re.compile(f"[{_WIDE_CLASS}]")
 _WIDE_RUN = re.compile(f"[{_WIDE_CLASS}]+")
 _WORD = re.compile(r"[^\W_]+(?:['’_-][^\W_]+)*")
-_TOKEN = re.compile(rf"[{_WIDE_CLASS}]|[^\W_{_WIDE_CLASS}]+(?:['’_-][^\W_{_WIDE_CLASS}]+)*|[^\w\s]")
-_LINK_TOKEN = re.compile(rf"[{_WIDE_CLASS}]|[^\W_{_WIDE_CLASS}]+|[^\w\s]")
+_TOKEN = re.compile(rf"[{_WIDE_CLASS}]|[^\W_{_WIDE_CLASS}]+(?:['’_-][^\W_{_WIDE_CLASS}]+)*")
+_PLAIN_TOKEN = re.compile(r"[a-z0-9]+(?:['_-][a-z0-9]+)*")
+_LINK_TOKEN = re.compile(rf"[{_WIDE_CLASS}]|[^\W_{_WIDE_CLASS}]+")
 
 
 class SuffixAutomaton:
-    """Suffix automaton of a sequence of symbols."""
+    """Suffix automaton of a sequence of symbols; ``following[following[0][s]]`` holds what follows ``s`` somewhere.
 
-    def __init__(self, symbols: list[int]) -> None:
+    A symbol that occurs once is in no repeat, so it is written as None and only cuts the sequence: the
+    automaton is that of the parts between, which has the same repeats.
+    """
+
+    def __init__(self, symbols: list[int | None]) -> None:
         most = 2 * len(symbols) + 1
-        length, link, following = [0] * most, [0] * most, [None] * most
-        link[0], following[0] = -1, {}
+        length, link, following = [0] * most, [0] * most, [{}] * most
+        link[0], again = -1, bytearray(most)
         at, last, states = [0] * len(symbols), 0, 1
         for i, s in enumerate(symbols):
-            new, p = states, last
-            states += 1
-            length[new] = length[last] + 1
-            following[new] = {}
+            if s is None:
+                last = 0
+                continue
+            there = following[last]
+            if s in there:
+                q = there[s]
+                if length[last] + 1 == length[q]:
+                    again[q] = 1
+                    at[i] = last = q
+                    continue
+                new = 0
+            else:
+                new = states
+                states += 1
+                length[new] = length[last] + 1
+                following[new] = {}
+            p = last
             while p >= 0:
                 there = following[p]
                 if s in there:
                     q = there[s]
                     if length[p] + 1 == length[q]:
                         link[new] = q
+                        again[q] = 1
                     else:
                         clone = states
                         states += 1
                         length[clone] = length[p] + 1
                         link[clone] = link[q]
                         following[clone] = following[q].copy()
-                        link[q] = link[new] = clone
+                        link[q] = clone
+                        again[clone] = again[link[clone]] = 1
+                        if new:
+                            link[new] = clone
+                        else:
+                            new = clone
                         while p >= 0 and there.get(s) == q:
                             there[s] = clone
                             p = link[p]
@@ -114,28 +139,16 @@ class SuffixAutomaton:
                 there[s] = new
                 p = link[p]
             at[i] = last = new
-        self.length, self.link, self.following, self.at = length, link[:states], following, at
+        self.length, self.link, self.following, self.at, self.again = length, link, following, at, again
 
-    def repeats(self) -> Iterator[int]:
+    def repeats(self) -> list[int]:
         """Length of the longest substring that ends at each position and occurs at least twice.
 
-        A state occurs more than once if another is linked to it, as is that to which any state is linked.
+        A state occurs more than once if it was met again or another is linked to it, as is that to which
+        any state is linked.
         """
-        linked, length, link = set(self.link), self.length, self.link
-        return (length[s] if s in linked else length[link[s]] for s in self.at)
-
-    def after(self, symbol: int) -> dict[int, int]:
-        """The symbols that follow a symbol somewhere."""
-        return self.following[self.following[0][symbol]]
-
-
-class Segment(NamedTuple):
-    """A piece of a page: tokens ``start`` to ``end`` of a line."""
-
-    kind: str  # running, short, listed, item, code or head
-    line: int
-    start: int
-    end: int
+        again, length, link = self.again, self.length, self.link
+        return [(length[s] if again[s] else length[link[s]]) if s else 0 for s in self.at]
 
 
 def _outside_items(pattern: re.Pattern, form: Callable[[re.Match], str], text: str) -> str:
@@ -170,129 +183,161 @@ def _marked(text: str) -> str:
 
 def _is_list(segment: str, words: list[str], tagged: bool) -> bool:
     """Short pieces between separators. In scripts without spaces a space is one."""
-    wide = sum(map(len, runs := _WIDE_RUN.findall(segment))) if not segment.isascii() else 0
     if tagged and len(_WORD.findall(segment)) <= 8:
         return True
-    if 2 * wide > len(words):
-        long = sum(len(r) for r in runs if len(r) >= CLAUSE_CHARACTERS)
-        return 2 * long < wide or (len(runs) >= 4 and wide < CLAUSE_CHARACTERS * len(runs))
-    pieces = len(_SEPARATORS.findall(segment)) + 1
+    if segment.isascii():
+        if sum(map(segment.count, ",;|>/~-\t")) + segment.count("  ") < 3:
+            return False
+        pieces = len(_PLAIN_SEPARATORS.findall(segment)) + 1
+    else:
+        if _WIDE.search(segment):
+            runs = _WIDE_RUN.findall(segment)
+            wide = sum(map(len, runs))
+            if 2 * wide > len(words):
+                long = sum(len(r) for r in runs if len(r) >= CLAUSE_CHARACTERS)
+                return 2 * long < wide or (len(runs) >= 4 and wide < CLAUSE_CHARACTERS * len(runs))
+        pieces = len(_SEPARATORS.findall(segment)) + 1
     if pieces >= 4:
         pieces = sum(1 for p in _SEPARATOR.split(segment) if p.strip(" -*+#>|"))
     return pieces >= 4 and len(words) <= PIECE_WORDS * pieces
 
 
-def read_page(text: str) -> tuple[list[str], list[Segment]]:
-    """All tokens of a page in order, and its segments."""
+def read_page(text: str) -> tuple[list[str], list[tuple[str, int, int, int]]]:
+    """All words of a page in order, with marks of links, tags and ends, and its segments.
+
+    A segment is its kind (running, short, listed, item, code or head), its line and where its tokens
+    begin and end.
+    """
     tokens: list[str] = []
-    segments: list[Segment] = []
+    segments: list[tuple[str, int, int, int]] = []
     fenced = front = begun = False
-    for n, line in enumerate(_marked(text).split("\n")):
-        bare, start = line.strip(), len(tokens)
+    text = _marked(text).lower()
+    plain = text.isascii()
+    words_of, sentences_of = (_PLAIN_TOKEN.findall, _PLAIN_END.split) if plain else (_TOKEN.findall, _SENTENCE_END.split)
+    coded = _CODE_MARK.search(text) is not None
+    for n, line in enumerate(text.split("\n")):
+        bare = line.strip()
         if not bare:
             continue
-        has_items = ITEM_END in line
-        if bare.startswith("```"):
+        has_items, start, first, kind = ITEM_END in line, len(tokens), bare[0], ""
+        if first == "`" and bare.startswith("```"):
             fenced = not fenced
-        elif bare == "---":
+            kind = "head"
+        elif first == "-" and bare == "---":
             front = not begun and not front
-        elif front and not (listing := _FRONT_LIST.match(bare)):
-            pass
-        elif not fenced and not (bare[0] == "#" and not has_items):
-            begun = begun or not front
-            if front:
-                line = bare[listing.end() :]
-            if _is_figures(bare) or (not has_items and not front and _CODE.search(bare)):
-                tokens += _TOKEN.findall(bare.lower())
-                segments.append(Segment("code", n, start, len(tokens)))
-            else:
-                _read_line(line, n, tokens, segments)
+            kind = "head"
+        elif fenced:
+            kind = "code"
+        elif front:
+            listing = _FRONT_LIST.match(bare)
+            kind, line = ("", bare[listing.end() :]) if listing else ("head", line)
+        elif first == "#" and not has_items:
+            kind = "head"
+        elif _is_figures(bare) or (coded and not has_items and _CODE_MARK.search(bare) and _CODE.search(bare)):
+            kind = "code"
+        begun = begun or not front
+        if kind:
+            tokens += words_of(bare)
+            segments.append((kind, n, start, len(tokens)))
             tokens.append("\n")
             continue
-        tokens += _TOKEN.findall(bare.lower())
-        tokens.append("\n")
-        segments.append(Segment("code" if fenced else "head", n, start, len(tokens)))
+        tagged = False
+        if has_items:
+            tagged = TAG in line
+            for mark, inner in _ITEM.findall(line):
+                start = len(tokens)
+                tokens.append(mark)
+                tokens += inner if mark == TAG else _LINK_TOKEN.findall(inner)
+                tokens.append(ITEM_END)
+                segments.append(("item", n, start, len(tokens)))
+            line = _ITEM.sub(" , ", line)
+        for segment in sentences_of(line):
+            words = words_of(segment)
+            if words:
+                kind = "short" if len(words) < CLAUSE_WORDS else "listed" if _is_list(segment, words, tagged) else "running"
+                start = len(tokens)
+                tokens += words
+                segments.append((kind, n, start, len(tokens)))
+                tokens.append("\n")
     return tokens, segments
 
 
 def _is_figures(line: str) -> bool:
-    if not _FIGURES.match(line):
+    if line[0].isalpha() or not _FIGURES.match(line):
         return False
     words = _WORD.findall(line)
     return 4 * sum(w[0].isdigit() for w in words) >= len(words) or set(line) <= set("|-: ")
 
 
-def _read_line(line: str, n: int, tokens: list[str], segments: list[Segment]) -> None:
-    """Add the items and segments of a line."""
-    tagged = TAG in line
-    for mark, inner in _ITEM.findall(line) if ITEM_END in line else ():
-        start = len(tokens)
-        tokens.append(mark)
-        tokens += inner.lower() if mark == TAG else _LINK_TOKEN.findall(inner.lower())
-        tokens.append(ITEM_END)
-        segments.append(Segment("item", n, start, len(tokens)))
-    plain = _ITEM.sub(" , ", line) if ITEM_END in line else line
-    for segment in _SENTENCE_END.split(plain):
-        own = _TOKEN.findall(segment.lower())
-        words = [t for t in own if t[0].isalnum()]
-        if words:
-            kind = "listed" if _is_list(segment, words, tagged) else "running" if len(words) >= CLAUSE_WORDS else "short"
-            segments.append(Segment(kind, n, len(tokens), len(tokens) + len(own)))
-            tokens += own
-            tokens.append(".")
-
-
-def covered_places(automaton: SuffixAutomaton, sizes: list[int], least: int = LEAST_REPEAT) -> bytearray:
-    """1 for each position that lies in a repeated substring of ``least`` characters or more."""
-    covered, start = bytearray(len(sizes)), len(sizes)
-    upto = [0, *accumulate(sizes)]
-    repeats = list(automaton.repeats())
-    for i in range(len(sizes) - 1, -1, -1):
-        begin = i - repeats[i] + 1
-        if begin < start and upto[i + 1] - upto[begin] >= least:
-            start = begin
-        covered[i] = i >= start
-    return covered
+def covered_places(automaton: SuffixAutomaton, size_to: np.ndarray, least: int = LEAST_REPEAT) -> np.ndarray:
+    """Whether each position lies in a repeated substring of ``least`` characters or more."""
+    repeats = np.array(automaton.repeats(), np.int64)
+    place = np.arange(len(repeats))
+    begin = place - repeats + 1
+    begin[size_to[1:] - size_to[begin] < least] = len(repeats)
+    return place >= np.minimum.accumulate(begin[::-1])[::-1]
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _shape(token: str) -> tuple[int, float]:
+    """Characters of a token and the words it weighs: a character of a script without spaces half a one."""
+    if not token[0].isalnum():
+        return len(token), 0.0
+    return (2, 0.5) if _WIDE.match(token) else (len(token), 1.0)
 
 
 def measure(text: str | None) -> tuple[float, float, float, float, float]:
     """Mass of clauses, of what lies outside them, and of code and figures (in words); the share of the
     second covered by repeats; and the page's share of free neighbours."""
-    if not text or text.isspace():
+    tokens, segments = read_page(text) if text and not text.isspace() else ([], [])
+    if not segments:
         return 0.0, 0.0, 0.0, 0.0, 0.0
-    tokens, segments = read_page(text)
-    number: dict[str, int] = {}
-    symbols = [number.setdefault(t, len(number)) for t in tokens]
-    automaton = SuffixAutomaton(symbols)
-    wide = [False] * len(number) if text.isascii() else [_WIDE.match(t) is not None for t in number]
-    size_of = [2 if w else len(t) for t, w in zip(number, wide)]
-    word_of = [t[0].isalnum() for t in number]
-    weight_of = [0.5 if w else 1.0 if word else 0.0 for w, word in zip(wide, word_of)]
-    sizes = [size_of[s] for s in symbols]
-    covered = covered_places(automaton, sizes)
-    mass_to = [0.0, *accumulate([weight_of[s] for s in symbols])]
-    size_to = [0, *accumulate(sizes)]
-    repeated_to = [0, *accumulate([n if c else 0 for n, c in zip(sizes, covered)])]
-
-    after = [automaton.after(s) if word else {} for s, word in enumerate(word_of)]
-    pairs_to = [0, *accumulate([word_of[a] and word_of[b] for a, b in zip(symbols, symbols[1:])])]
-    free_to = [0, *accumulate([word_of[a] and (a in after[b] or a == b) for a, b in zip(symbols, symbols[1:])])]
-    orders = [(pairs_to[end - 1] - pairs_to[start], free_to[end - 1] - free_to[start]) if kind in IN_WORDS else (0, 0) for kind, _, start, end in segments]
-    all_pairs, all_free = sum(p for p, _ in orders), sum(f for _, f in orders)
+    counts = Counter(tokens)
+    number = dict(zip(counts, range(len(counts))))
+    symbols = [number[t] for t in tokens]
+    again = [n > 1 for n in counts.values()]
+    automaton = SuffixAutomaton([s if again[s] else None for s in symbols])
+    own = np.array(symbols)
+    shapes = np.array([_shape(t) for t in number])[own]
+    mass_to = [0.0, *np.cumsum(shapes[:, 1]).tolist()]
+    size_to = np.concatenate(([0.0], np.cumsum(shapes[:, 0])))
+    repeated_to = [0.0, *np.cumsum(np.where(covered_places(automaton, size_to), shapes[:, 0], 0.0)).tolist()]
+    size_to = size_to.tolist()
+
+    following = automaton.following
+    root = following[0]
+    orders: list[tuple[int, int]] = []
+    all_pairs = all_free = code_lines = 0
+    lines: set[int] = set()
+    items_of: Counter[int] = Counter()
+    for kind, line, start, end in segments:
+        lines.add(line)
+        pairs = free = 0
+        if kind == "running" or kind == "short":
+            pairs, b = end - start - 1, symbols[start]
+            for s in symbols[start + 1 : end]:
+                a, b = b, s
+                if again[a] and again[b] and (a == b or a in following[root[b]]):
+                    free += 1
+            all_pairs += pairs
+            all_free += free
+        elif kind == "code":
+            code_lines += 1
+        elif kind == "item":
+            items_of[line] += 1
+        orders.append((pairs, free))
     disorder = all_free / all_pairs if all_pairs else 0.0
-    clause = [s.kind == "running" and free + PRIOR * disorder < FREE * (pairs + PRIOR) for s, (pairs, free) in zip(segments, orders)]
-    clauses_of = Counter(s.line for s, is_clause in zip(segments, clause) if is_clause)
-    items_of = Counter(s.line for s in segments if s.kind == "item")
-    mostly_code = len({s.line for s in segments if s.kind == "code"}) >= CODE_LINES * len({s.line for s in segments})
+    clause = [s[0] == "running" and free + PRIOR * disorder < FREE * (pairs + PRIOR) for s, (pairs, free) in zip(segments, orders)]
+    clauses_of = Counter(s[1] for s, is_clause in zip(segments, clause) if is_clause) if items_of else {}
+    mostly_code = code_lines >= CODE_LINES * len(lines)
 
-    clauses = outside = other = 0.0
-    characters = repeated = 0
+    clauses = outside = other = characters = repeated = 0.0
     for (kind, line, start, end), is_clause in zip(segments, clause):
         if kind == "head":
             continue
         tag = kind == "item" and tokens[start] == TAG
-        mass = float(len(_WORD.findall("".join(tokens[start:end])))) if tag else mass_to[end] - mass_to[start]
-        if is_clause or (kind == "item" and items_of[line] <= 2 * clauses_of[line]):
+        mass = len(_WORD.findall("".join(tokens[start:end]))) if tag else mass_to[end] - mass_to[start]
+        if is_clause or (kind == "item" and items_of[line] <= 2 * clauses_of.get(line, 0)):
             clauses += mass
         elif kind == "code" or (mostly_code and kind != "item"):
             other += mass
