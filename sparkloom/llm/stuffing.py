@@ -298,10 +298,11 @@ def measure(text: str | None) -> tuple[float, float, float, float, float]:
     again = [n > 1 for n in counts.values()]
     automaton = SuffixAutomaton([s if again[s] else None for s in symbols])
     own = np.array(symbols)
-    shapes = np.array([_shape(t) for t in number])[own]
-    mass_to = [0.0, *np.cumsum(shapes[:, 1]).tolist()]
-    size_to = np.concatenate(([0.0], np.cumsum(shapes[:, 0])))
-    repeated_to = [0.0, *np.cumsum(np.where(covered_places(automaton, size_to), shapes[:, 0], 0.0)).tolist()]
+    size_of, weight_of = zip(*map(_shape, number))
+    sizes = np.array(size_of)[own]
+    mass_to = [0.0, *np.array(weight_of)[own].cumsum().tolist()]
+    size_to = np.concatenate(([0], sizes.cumsum()))
+    repeated_to = [0, *np.where(covered_places(automaton, size_to), sizes, 0).cumsum().tolist()]
     size_to = size_to.tolist()
 
     following = automaton.following
@@ -331,7 +332,8 @@ def measure(text: str | None) -> tuple[float, float, float, float, float]:
     clauses_of = Counter(s[1] for s, is_clause in zip(segments, clause) if is_clause) if items_of else {}
     mostly_code = code_lines >= CODE_LINES * len(lines)
 
-    clauses = outside = other = characters = repeated = 0.0
+    clauses = outside = other = 0.0
+    characters = repeated = 0
     for (kind, line, start, end), is_clause in zip(segments, clause):
         if kind == "head":
             continue

@@ -252,14 +252,43 @@ def test_stuffed_pages(make):
     assert stuffing.stuffed_pages(make([], "doc_id bigint, text string")).collect() == []
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 3), max_size=30))
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=30))
 def test_suffix_automaton_tells_longest_repeats(symbols):
     def longest(i):
         n = len(symbols)
         return max((k for k in range(1, i + 2) if sum(symbols[j : j + k] == symbols[i - k + 1 : i + 1] for j in range(n - k + 1)) > 1), default=0)
 
-    assert list(stuffing.SuffixAutomaton(symbols).repeats()) == [longest(i) for i in range(len(symbols))]
+    cut = [s if symbols.count(s) > 1 else None for s in symbols]
+    automaton = stuffing.SuffixAutomaton(cut)
+    assert automaton.repeats() == [longest(i) for i in range(len(symbols))]
+    for s in {*cut} - {None}:
+        assert set(automaton.following[automaton.following[0][s]]) == {b for a, b in zip(cut, cut[1:]) if a == s and b is not None}
+
+
+def case(text, share=stuffing.SHARE, coverage=True):
+    clauses, stuffed, other, covered, _ = stuffing.measure(text)
+    return stuffed * (covered if coverage else 1) >= share * (clauses + stuffed + other) > 0
+
+
+def test_coverage_decides_between_lists():
+    names = ["amber", "basil", "cedar", "delta", "ember", "fjord", "glade", "hazel", "ivory", "jolly", "koala", "lemon", "mango", "nylon", "olive", "pearl", "quartz", "raven", "sugar", "tulip"]
+    once, again = ", ".join(names), ", ".join(names[:5] * 4)
+    assert case(again) and not case(once) and case(once, coverage=False)
+    assert case(" ".join(f"#{n}" for n in names))  # bare tags are a case: their marks repeat
+
+
+def test_order_decides_between_sentences():
+    rng = random.Random(5)
+    pool = "vuokra halpa asunto laina vakuutus tarjous".split()  # a language that no rule knows
+    strewn = ". ".join(" ".join(rng.choice(pool) for _ in range(9)) for _ in range(12)) + "."
+    told = " ".join(f"Uusi vuokralainen numero {i} maksoi halvan asunnon lainan ja lähetti tarjouksen takaisin pankkiin." for i in range(12))
+    assert case(strewn) and not case(told)
+
+
+def test_lines_like_code_are_no_excuse():
+    assert case("private jet hire private jet charter\n" * 12) and case("cheap shoes; best shoes;\n" * 12)
+    assert not case("import os\n\ndef run(a):\n    return a\n\nfor x in y:\n    run(x)\n    print(x)\nelse:\n    pass\n" * 6)
 
 
 def test_long_pages_are_measured_whole():
