@@ -7,8 +7,8 @@ marks, gives both measures that decide; no list of words of any language is used
   covered if such a substring of at least ``LEAST_REPEAT`` characters runs over it.
 * Clause structure. A page is cut into segments at line ends and sentence ends. A segment of short
   pieces between separators, links or tags leaves no room for a clause. A longer one is a clause if it
-  keeps an order: two neighbours are free if the automaton also knows them the other way round, or
-  beside themselves; words of sentences rarely are, keywords strewn at random mostly. A segment's share
+  keeps an order: two neighbours are free if the automaton also knows them the other way round, if
+  they are equal, or if the segment has them twice; words of sentences rarely are, keywords strewn at random mostly. A segment's share
   of free neighbours is smoothed by that of its page. Scripts without spaces are read by character.
 
 A page is a case if the covered part of what lies outside clauses is at least ``SHARE`` of its mass. Code
@@ -269,9 +269,9 @@ def _is_figures(line: str) -> bool:
     return 4 * sum(w[0].isdigit() for w in words) >= len(words) or set(line) <= set("|-: ")
 
 
-def covered_places(automaton: SuffixAutomaton, size_to: np.ndarray, least: int = LEAST_REPEAT) -> np.ndarray:
+def covered_places(longest: list[int], size_to: np.ndarray, least: int = LEAST_REPEAT) -> np.ndarray:
     """Whether each position lies in a repeated substring of ``least`` characters or more."""
-    repeats = np.array(automaton.repeats(), np.int64)
+    repeats = np.array(longest, np.int64)
     place = np.arange(len(repeats))
     begin = place - repeats + 1
     begin[size_to[1:] - size_to[begin] < least] = len(repeats)
@@ -302,7 +302,7 @@ def measure(text: str | None) -> tuple[float, float, float, float, float]:
     sizes = np.array(size_of)[own]
     mass_to = [0.0, *np.array(weight_of)[own].cumsum().tolist()]
     size_to = np.concatenate(([0], sizes.cumsum()))
-    repeated_to = [0, *np.where(covered_places(automaton, size_to), sizes, 0).cumsum().tolist()]
+    repeated_to = [0, *np.where(covered_places(automaton.repeats(), size_to), sizes, 0).cumsum().tolist()]
     size_to = size_to.tolist()
 
     following = automaton.following
@@ -315,11 +315,13 @@ def measure(text: str | None) -> tuple[float, float, float, float, float]:
         lines.add(line)
         pairs = free = 0
         if kind == "running" or kind == "short":
-            pairs, b = end - start - 1, symbols[start]
+            pairs, b, met = end - start - 1, symbols[start], set()
             for s in symbols[start + 1 : end]:
                 a, b = b, s
-                if again[a] and again[b] and (a == b or a in following[root[b]]):
-                    free += 1
+                if again[a] and again[b]:
+                    free += a == b or a in following[root[b]] or (a, b) in met
+                    if weight_of[a] == 1:  # characters of a script without spaces return in pairs, words hardly do
+                        met.add((a, b))
             all_pairs += pairs
             all_free += free
         elif kind == "code":
