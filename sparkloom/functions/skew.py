@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+#: Rows of a key that one task takes in :func:`block_join`.
+BLOCK = 1 << 18
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = SALTS) -> DataFrame:
@@ -17,3 +19,15 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def block_join(left: DataFrame, right: DataFrame, key: str, position: Column, last: str, how: str = "left", block: int = BLOCK) -> DataFrame:
+    """Join ``left`` with a ``right`` of one row per key whose column ``last`` is the highest ``position`` of the
+    key in ``left``.
+
+    Rows of a key are spread by blocks of their position, and ``right`` is repeated only for the blocks
+    that its key has: mostly one.
+    """
+    spread = left.withColumn("_block", F.coalesce(F.floor(position / block), F.lit(0)).cast("bigint"))
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.coalesce(F.floor(F.col(last) / block).cast("bigint"), F.lit(0)), F.lit(0)))
+    return spread.join(right.withColumn("_block", F.explode(blocks)).drop(last), [key, "_block"], how).drop("_block")

@@ -7,21 +7,21 @@ pass of column expressions; only the RFC 8259 test of a JSON line, for which Spa
 parser, is an Arrow-batched UDF that hands back nullable text.
 
 Defined cases: null lines and lines of white space only are neither sound nor failing; very long
-lines are read whole; columns besides ``path``, ``line_no`` and ``line`` are dropped; rows delivered
+lines are read whole, JSON of any depth too; columns besides ``path``, ``line_no`` and ``line`` are dropped; rows delivered
 again (equal ``path``, ``line_no`` and ``line``) count once; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.functions.json_text import BROKEN, parse_strict, token
-from sparkloom.functions.skew import salted_join
+from sparkloom.functions.json_text import BROKEN, parse_strict, token, token_start
+from sparkloom.functions.skew import block_join
 
 #: Entry types of a session log (fixed values).
 ENTRY_TYPES = ("session", "message", "model_change", "compaction", "custom")
@@ -78,10 +78,31 @@ SESSION_TEXTS: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 
+#: Texts of which only the kind is told: ``"`` for a string, else as :func:`sparkloom.functions.json_text.token`.
+KIND_ONLY = frozenset({"entry", "message", "content", "usage", "cost"})
+
+
+def texts_of(value: object, texts: Iterable[tuple[str, tuple[str, ...]]]) -> Iterator[str | None]:
+    """The nullable texts of a parsed line, one per path into it."""
+    for name, path in texts:
+        at, there = value, value is not BROKEN
+        for key in path:
+            there = there and isinstance(at, dict) and key in at
+            if not there:
+                break
+            at = at[key]
+        if not there:
+            yield None
+        elif name in KIND_ONLY and isinstance(at, str):
+            yield token_start(at)
+        else:
+            yield token(at)
+
+
 def json_texts(line: Column, texts: Iterable[tuple[str, tuple[str, ...]]]) -> Column:
     """Struct of nullable texts, one per path into the JSON value of a line; all null if it is not JSON.
 
-    A text is the value's JSON token (see :func:`sparkloom.functions.json_text.token`), null where absent.
+    A text is the value's JSON token (see :func:`texts_of`), null where absent.
     """
     texts = tuple(texts)
     fields = T.StructType([T.StructField(name, T.StringType()) for name, _ in texts])
@@ -91,14 +112,8 @@ def json_texts(line: Column, texts: Iterable[tuple[str, tuple[str, ...]]]) -> Co
         columns: list[list[str | None]] = [[] for _ in texts]
         for text in batch.to_pylist():
             value = BROKEN if text is None else parse_strict(text)
-            for column, (_, path) in zip(columns, texts):
-                at, there = value, value is not BROKEN
-                for key in path:
-                    there = there and isinstance(at, dict) and key in at
-                    if not there:
-                        break
-                    at = at[key]
-                column.append(token(at) if there else None)
+            for column, x in zip(columns, texts_of(value, texts)):
+                column.append(x)
         arrays = [pa.array(c, pa.string()) for c in columns]
         return pa.StructArray.from_arrays(arrays, [name for name, _ in texts])
 
@@ -176,11 +191,11 @@ def session_entries(lines: DataFrame) -> DataFrame:
 
 
 def export_delimiters(lines: DataFrame) -> DataFrame:
-    """``path`` and ``delimiter`` of each export whose first line is a header."""
+    """``path`` and ``delimiter`` of each export whose first line is a header, with its ``last_line``."""
     names = "(.)".join(f'"?{c}"?' for c in EXPORT_COLUMNS)
     found = F.regexp_extract(F.regexp_replace("line", "[\r\n]+$", ""), f"^{names}$", 1)
-    headers = lines.filter(F.col("line_no") == 1).select("path", found.alias("delimiter"))
-    return headers.groupBy("path").agg(F.max("delimiter").alias("delimiter")).filter(F.col("delimiter") != "")
+    header = F.when(F.col("line_no") == 1, found)
+    return lines.groupBy("path").agg(F.max(header).alias("delimiter"), F.max("line_no").alias("last_line")).filter(F.col("delimiter") != "")
 
 
 def export_texts(lines: DataFrame) -> DataFrame:
@@ -191,7 +206,7 @@ def export_texts(lines: DataFrame) -> DataFrame:
     without a header is a comma.
     """
     own = lines.select(*LINE_KEY, F.regexp_replace("line", "[\r\n]+$", "").alias("text"), "line").filter(not_blank(F.col("line")))
-    joined = salted_join(own, export_delimiters(lines), ["path"], F.col("line_no"))
+    joined = block_join(own, export_delimiters(lines), "path", F.col("line_no"), "last_line")
     rows = joined.filter((F.col("line_no") != 1) | F.col("delimiter").isNull()).withColumn("d", F.coalesce("delimiter", F.lit(",")))
     d, nul = F.col("d"), F.lit("\0")
 

@@ -42,20 +42,21 @@ def p3_export_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Child records of messages with their parents."""
-    return nesting.child_records(table(spark, d, "session_lines"), with_fields=False).select("path", "line_no", "parent", "node")
+    """Child records of messages with their parents, from the keys of the flat tables."""
+    records = nesting.read_records(table(spark, d, "session_lines"), with_fields=False)
+    return nesting.table_links(nesting.flat_tables(records, nesting.schema_graph(records)))
 
 
 def p5_schema_graph(spark: SparkSession, d: str) -> DataFrame:
     """Elements of messages and the tables that shared inlining gives them."""
-    return nesting.schema_graph(nesting.child_records(table(spark, d, "session_lines"), with_fields=False))
+    return nesting.schema_graph(nesting.read_records(table(spark, d, "session_lines"), with_fields=False))
 
 
 def p5_tables(spark: SparkSession, d: str) -> DataFrame:
     """Rows of all flat tables with their keys and fields."""
-    records = nesting.child_records(table(spark, d, "session_lines"))
+    records = nesting.read_records(table(spark, d, "session_lines"))
     tables = nesting.flat_tables(records, nesting.schema_graph(records))
-    return tables.withColumn("fields", F.to_json("fields"))
+    return tables.withColumn("fields", F.to_json("fields")).drop("inlined")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,18 +35,35 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the session has no ``spark.checkpoint.dir`` (local tests) is a folder of our own set.
+    Only a local session without the setting gets a folder of its own; on a cluster a machine-local one
+    would be lost with its machine, so its lack is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         context.setCheckpointDir(shared or os.path.join(tempfile.mkdtemp(prefix="sparkloom-"), "checkpoints"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: as :func:`cut`, but in columns, so that
+    what follows reads only those it needs."""
+    folder = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 _shipped: set[str] = set()
 
 

@@ -139,3 +139,22 @@ def test_very_long_fields(make):
 def test_strict_parser_reads_what_json_writes(value):
     assert parse_strict(json.dumps(value)) is not BROKEN
     assert parse_strict(json.dumps(value, ensure_ascii=False) + " ]") is BROKEN
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=4), lambda v: st.lists(v, max_size=3) | st.dictionaries(st.text(max_size=3), v, max_size=3), max_leaves=12), st.integers(0, 60), st.sampled_from("[]{},:\"0 x\\"))
+def test_deep_parser_agrees_with_the_decoder(value, at, mark):
+    from sparkloom.functions.json_text import _parse_deep
+
+    text = json.dumps(value, ensure_ascii=False, indent=at % 3 or None)
+    changed = text[:at] + mark + text[at + 1 :]
+    for t in (text, changed, text[:at], text + mark):
+        assert _parse_deep(t) == parse_strict(t), t
+
+
+def test_json_of_any_depth(make):
+    depth = 60_000
+    nested = '{"type": "custom", "x": ' + "[" * depth + '{"a": 1}' + "]" * depth + "}"
+    table = make([("p", 1, nested), ("p", 2, nested[:-2] + "}"), ("p", 3, "[" * depth + "]" * depth)], "path string, line_no bigint, line string")
+    reasons = quarantine.check_session_lines(table).select("line_no", "errors").collect()
+    assert {r.line_no: list(r.errors) for r in reasons} == {1: [], 2: ["syntax"], 3: ["shape"]}
