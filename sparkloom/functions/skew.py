@@ -21,7 +21,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def block_join(left: DataFrame, right: DataFrame, key: str, position: Column, last: str, how: str = "left", block: int = BLOCK) -> DataFrame:
+def block_join(left: DataFrame, right: DataFrame, keys: list[str], position: Column, last: str, how: str = "left", block: int = BLOCK) -> DataFrame:
     """Join ``left`` with a ``right`` of one row per key whose column ``last`` is the highest ``position`` of the
     key in ``left``.
 
@@ -29,5 +29,5 @@ def block_join(left: DataFrame, right: DataFrame, key: str, position: Column, la
     that its key has: mostly one.
     """
     spread = left.withColumn("_block", F.coalesce(F.floor(position / block), F.lit(0)).cast("bigint"))
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.coalesce(F.floor(F.col(last) / block).cast("bigint"), F.lit(0)), F.lit(0)))
-    return spread.join(right.withColumn("_block", F.explode(blocks)).drop(last), [key, "_block"], how).drop("_block")
+    blocks = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.coalesce(F.floor(F.col(last) / block).cast("bigint"), F.lit(0).cast("bigint")), F.lit(0).cast("bigint")))
+    return spread.join(right.withColumn("_block", F.explode(blocks)).drop(last), [*keys, "_block"], how).drop("_block")

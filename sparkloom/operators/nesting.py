@@ -148,7 +148,7 @@ def _read(line: Column, with_fields: bool) -> Column:
         arrays = [pa.array(c, pa.string()) for c in texts]
         return pa.StructArray.from_arrays([*arrays, _columns(rows, offsets, with_fields)], [f.name for f in schema])
 
-    return read(line)
+    return read.asNondeterministic()(line)  # so that no filter on the texts reads the line again
 
 
 def read_records(lines: DataFrame, with_fields: bool = True) -> DataFrame:

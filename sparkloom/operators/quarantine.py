@@ -117,7 +117,7 @@ def json_texts(line: Column, texts: Iterable[tuple[str, tuple[str, ...]]]) -> Co
         arrays = [pa.array(c, pa.string()) for c in columns]
         return pa.StructArray.from_arrays(arrays, [name for name, _ in texts])
 
-    return read(line)
+    return read.asNondeterministic()(line)  # so that no filter on the texts reads the line again
 
 
 def session_texts(lines: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def export_texts(lines: DataFrame) -> DataFrame:
     without a header is a comma.
     """
     own = lines.select(*LINE_KEY, F.regexp_replace("line", "[\r\n]+$", "").alias("text"), "line").filter(not_blank(F.col("line")))
-    joined = block_join(own, export_delimiters(lines), "path", F.col("line_no"), "last_line")
+    joined = block_join(own, export_delimiters(lines), ["path"], F.col("line_no"), "last_line")
     rows = joined.filter((F.col("line_no") != 1) | F.col("delimiter").isNull()).withColumn("d", F.coalesce("delimiter", F.lit(",")))
     d, nul = F.col("d"), F.lit("\0")
 
