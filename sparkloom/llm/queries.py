@@ -8,27 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import encoding, packing, runs, stuffing, turns
-from sparkloom.session import cut, table
+from sparkloom.session import stored, table
 
 
-def _turns(spark: SparkSession, d: str) -> DataFrame:
-    return turns.speaker_turns(table(spark, d, "transcript_lines"), table(spark, d, "episode_cast"), table(spark, d, "speakers"))
+def _talks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "transcript_lines"), table(spark, d, "episode_cast"), table(spark, d, "speakers")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Turns of every recording, by their first and last line."""
-    return _turns(spark, d).select("doc_id", "turn_no", "speaker_id", "first_line", "last_line")
+    return turns.speaker_turns(*_talks(spark, d), with_text=False).select("doc_id", "turn_no", "speaker_id", "first_line", "last_line")
 
 
 def p1_turns(spark: SparkSession, d: str) -> DataFrame:
     """Turns with the time of their first line and their clean text."""
-    return _turns(spark, d).select("doc_id", "turn_no", "speaker_id", "seconds", "text")
+    return turns.speaker_turns(*_talks(spark, d)).select("doc_id", "turn_no", "speaker_id", "seconds", "text")
 
 
 def p1_layouts(spark: SparkSession, d: str) -> DataFrame:
-    """Mined layouts of transcript lines with their slots."""
-    read = turns.read_lines(table(spark, d, "transcript_lines"), table(spark, d, "episode_cast"), table(spark, d, "speakers"))
-    return turns.line_layouts(cut(read))
+    """Mined layouts of transcript lines and of stamps with their slots."""
+    read = stored(turns.read_lines(*_talks(spark, d), with_text=False))
+    texts = turns.line_layouts(read).select(F.lit("text").alias("of"), "layout", "n_lines", "clock_slot", "speaker_slot").distinct()
+    stamps = turns.stamp_layouts(read).select(F.lit("stamp").alias("of"), F.col("stamp").alias("layout"), "n_lines", F.col("slots").isNotNull().alias("clock_slot"), F.lit(False).alias("speaker_slot"))
+    return texts.unionByName(stamps)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

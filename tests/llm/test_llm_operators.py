@@ -219,6 +219,63 @@ def test_turns_of_a_long_recording_over_chunks(make, chunks):
     assert turn_rows(make, lines, chunks) == sorted(map(tuple, expected), key=repr)
 
 
+def planted(make):
+    """Many labels in front of texts show the slot of their layout; a few others don't fit it."""
+    lines = [(1, i, str(i), None, f"{'ANN' if i % 2 else 'BOB'}: some words {i}") for i in range(1, 21)]
+    lines += [(1, 21, "21", None, "GUEST: um"), (1, 22, "22", None, "ANN: and so"), (1, 23, "23", None, "Remark for Ann: not hers")]
+    lines += [(2, i, f"0:{i:02}", None, f"[0:{i:02}] words {i}") for i in range(1, 9)] + [(2, 9, "0:09", None, "0:09 um"), (2, 10, "0:99:99:1", None, "0:10 more")]
+    table = make([(*line, "t", "x") for line in lines], LINES)
+    return turns.read_lines(table, make(CAST, "doc_id bigint, speaker_id string, role string"), make(SPEAKERS, "speaker_id string, full_name string"))
+
+
+def test_slots_of_layouts_decide(make):
+    read = planted(make)
+    layouts, stamps = turns.line_layouts(read), turns.stamp_layouts(read)
+    of = lambda with_layouts: {(r.doc_id, r.line_no): (r.spoken, r.person, r.shown) for r in turns.apply_layouts(read, with_layouts, stamps).collect()}
+    got = of(layouts)
+    assert got[1, 21] == (False, None, 21.0)  # a label that two share is a label still: "um" is no speech
+    assert got[1, 23][1] is None and got[1, 22][1] == "A"
+    assert got[2, 9][0] is False and got[2, 10] == (True, None, 10.0)  # clocks in texts are no words
+    no_speaker, no_clock = of(layouts.withColumn("speaker_slot", F.lit(False))), of(layouts.withColumn("clock_slot", F.lit(False)))
+    assert no_speaker[1, 21][0] is True and no_speaker[1, 22][1] is None
+    assert no_clock[2, 9][0] is True and no_clock[2, 10][2] is None
+    assert of(layouts.withColumn("speaker_slot", F.lit(True)))[1, 23][1] is None  # heads are found within the cast only
+
+
+def test_layouts_are_mined_by_a_token_tree(make):
+    paths = [("A: x", 900), ("C a a", 80), ("C a b", 15), ("C a c", 1), ("d e", 2), ("d f:", 2), ("", 5)]
+    mined = dict(rows_of(turns.mined_layouts(make(paths, "path string, n bigint"), support=0.05)))
+    assert mined == {"A: x": "A: x", "C a a": "C a a", "C a b": "C a b", "C a c": "C a *", "d e": "*", "d f:": "*:", "": "*"}
+    shapes = {"[0:12] ANN Archer:  hello": "[0:0] A C:", "McNeal said… so-and-so it": "C a… a-a-a a", "«Ünï» 3 — ---- x": "«C» 0 — - a", None: "", "  ": ""}
+    got = texts_of(make, shapes).select("v", turns.masked(F.col("v")).alias("m")).collect()
+    assert {r.v: r.m for r in got} == shapes
+
+
+def texts_of(make, values):
+    return make([(v,) for v in values], "v string")
+
+
+def test_stamps_need_numbers_that_fit_their_slots(make):
+    rows = [(1, i, f"{i}:{90 if i > 3 else 30}", "A", "word", "t", "x") for i in range(9)] + [(1, 20, "7", "A", "word", "t", "x")]
+    read = turns.read_lines(make(rows, LINES), make(CAST, "doc_id bigint, speaker_id string, role string"), make(SPEAKERS, "speaker_id string, full_name string"))
+    assert {r.stamp: r.slots for r in turns.stamp_layouts(read).collect()} == {"0:0": None, "0": [1.0]}
+
+
+def test_speech_and_cleaning(make):
+    cases = {"um, UH… hm": (False, ""), "Um — well, mm yes .": (True, "— well, yes."), "[door] (laughs) ♪ la ♪": (False, ""), "um-hm": (False, ""), "'tis": (True, "'tis"), "hum": (True, "hum"), "uh-oh": (True, "uh-oh"), "erm... 5": (True, "5"), "I'm": (True, "I'm"), None: (False, None), "": (False, "")}
+    got = texts_of(make, cases).select("v", turns.has_speech(F.col("v")).alias("s"), turns.clean_speech(F.col("v")).alias("c")).collect()
+    assert {r.v: (r.s, r.c) for r in got} == cases
+
+
+def test_long_labels_and_tokens_are_whole(make):
+    name = "A" * 90
+    lines = [(1, 1, "1", None, f"{name}: words"), (1, 2, "2", name, "words"), (1, 3, "3", None, "x" * 5000 + " words")]
+    table = make([(*line, "t", "x") for line in lines], LINES)
+    people = make([("A", f"{name} Archer")], "speaker_id string, full_name string")
+    cast = make([(1, "A", "host")], "doc_id bigint, speaker_id string, role string")
+    assert rows_of(turns.speaker_turns(table, cast, people), "turn_no", "speaker_id", "first_line", "last_line") == [(1, "A", 1, 3)]
+
+
 # --- stuffing ----------------------------------------------------------------------------------
 
 PROSE = "The reader opens the log and looks for the last entry. Nobody had changed it since the release, so we kept the old file. When the cache is cold, the planner has to wait until the queue drains. "
@@ -293,3 +350,14 @@ def test_lines_like_code_are_no_excuse():
 
 def test_long_pages_are_measured_whole():
     assert stuffing.measure(PROSE * 400)[0] > 10_000
+
+
+def test_hostile_texts_take_linear_time(make):
+    import time
+
+    words = ["x" * 80_000, "Xx" * 40_000, "m" * 80_000, "u" * 80_000 + "x", "(" * 80_000, "um-" * 30_000, "*a " * 30_000, "a:" * 40_000, ": " * 40_000, "1:" * 40_000, ">" * 80_000]
+    lines = [(1, i, w, w, w, "t", "x") for i, w in enumerate(words)]
+    people, cast = make(SPEAKERS, "speaker_id string, full_name string"), make(CAST, "doc_id bigint, speaker_id string, role string")
+    began = time.perf_counter()
+    assert turns.read_lines(make(lines, LINES), cast, people).count() == len(words)
+    assert time.perf_counter() - began < 60
