@@ -215,7 +215,8 @@ def read_lines(lines: DataFrame, cast: DataFrame, speakers: DataFrame, with_text
 
 def mined_layouts(paths: DataFrame, support: float = SUPPORT, depth: int = DEPTH) -> DataFrame:
     """``path`` and its ``layout``: the path down to the first branch that holds less than ``support`` of its
-    parent's lines, and a wildcard (with the colon if the path ends in one) for the rest.
+    parent's lines, and a wildcard (with the colon if the path ends in one) for the rest. A clock is kept
+    before the wildcard, however rare its branch.
 
     ``paths`` has distinct ``path`` with ``n`` lines; only counts of tree nodes are shuffled.
     """
@@ -226,7 +227,8 @@ def mined_layouts(paths: DataFrame, support: float = SUPPORT, depth: int = DEPTH
     parents = nodes.groupBy("level", "parent").agg(F.sum("n").alias("n_parent"))
     weak = below.join(parents, ["level", "parent"]).filter(F.col("n_node") < support * F.col("n_parent")).select("level", "node")
     cut_at = nodes.join(weak, ["level", "node"]).groupBy("path").agg(F.min("level").alias("weak"))
-    kept = F.array_join(F.slice(split, 1, F.col("weak") - 1), " ")
+    clock = F.get(split, F.col("weak") - 1).rlike(r"^[\[(]?0(:0){1,2}([.,]0)?[\])]?$")
+    kept = F.array_join(F.slice(split, 1, F.col("weak") - F.when(clock, 0).otherwise(1)), " ")
     wild = F.when(F.col("path").endswith(":"), "*:").otherwise("*")
     layout = F.when(F.col("weak").isNull(), F.col("path")).otherwise(F.trim(F.concat_ws(" ", kept, wild)))
     return paths.join(cut_at, "path", "left").select("path", layout.alias("layout"))
