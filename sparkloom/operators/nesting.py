@@ -199,7 +199,8 @@ def schema_graph(records: DataFrame) -> DataFrame:
         if joined.filter("then is not null").isEmpty():
             break
     placed = elements.join(pointers.withColumnRenamed("element", "of"), F.col("element") == F.col("of"), "left")
-    return placed.select("element", "holders", "repeated", "shared", "recursive", "own_table", F.coalesce("at", "element").alias("table_name"), F.coalesce("up", F.lit(0)).alias("up"))
+    # written, so that its size is known where records are joined to it
+    return stored(placed.select("element", "holders", "repeated", "shared", "recursive", "own_table", F.coalesce("at", "element").alias("table_name"), F.coalesce("up", F.lit(0)).alias("up")))
 
 
 def _unequal(entries: Column) -> Column:
