@@ -61,7 +61,7 @@ _SPOKEN = rf"(?<!{_LETTER})(?<!{_LETTER}['’_.])(?!(?:{_HESITATION})(?!{_LETTER
 
 
 def without_annotations(text: Column) -> Column:
-    return F.regexp_replace(text, _ANNOTATION, " ")
+    return F.when(text.rlike(r"[\[({<【（*♪♫]"), F.regexp_replace(text, _ANNOTATION, " ")).otherwise(text)
 
 
 def has_speech(text: Column) -> Column:
@@ -136,15 +136,16 @@ def named(label: str, known: dict[tuple[str, ...], str | None]) -> str | None:
     return next(iter(near)) if len(near) == 1 else None
 
 
-def _persons(label: pa.Array, cast: pa.Array) -> pa.Array:
-    """The cast member that each label means."""
-    memory: dict[tuple, dict] = {}
+def _spellings(cast: pa.Array) -> pa.Array:
+    """Map of what a label may say to the person, '' where several share it."""
+    return pa.array([[(" ".join(form), person or "") for form, person in spellings(members or []).items()] for members in cast.to_pylist()], pa.map_(pa.string(), pa.string()))
+
+
+def _persons(label: pa.Array, known: pa.Array) -> pa.Array:
+    """The cast member that each label means by :func:`named`; null labels mean nobody."""
     persons = []
-    for text, members in zip(label.to_pylist(), cast.to_pylist()):
-        key = tuple((m["speaker_id"], m["full_name"], m["role"]) for m in members or ())
-        if key not in memory:
-            memory[key] = spellings(members or [])
-        persons.append(named(text, memory[key]))
+    for text, forms in zip(label.to_pylist(), known.to_pylist()):
+        persons.append(None if text is None else named(text, {tuple(form.split()): person or None for form, person in forms}))
     return pa.array(persons, pa.string())
 
 
@@ -189,25 +190,33 @@ def read_lines(lines: DataFrame, cast: DataFrame, speakers: DataFrame, with_text
     ``headed``); ``path`` of the text and whether it opens with a clock (``clocked``); and whether the
     text is speech as it is, without its clock, and behind its head. Texts themselves only if asked for.
     """
-    plain = without_clock(F.col("text"))
-    at_colon = F.regexp_extract(plain, _LABEL, 0)
-    clocked = F.coalesce(F.col("text").rlike(_LEADING_CLOCK), F.lit(False))
-    within = F.size(F.split(F.trim(at_colon), r"(?U)\s+")) <= DEPTH
-    head = F.when((at_colon != "") & within, F.regexp_extract(plain, _LABEL, 1))
-    rest = F.when(head.isNotNull(), F.substr(plain, F.length(at_colon) + 1))
-    narrow = lines.select(
-        F.col("doc_id").cast("bigint"), F.col("line_no").cast("int"), stamp_layout(F.col("timestamp")).alias("stamp"), stamp_numbers(F.col("timestamp")).alias("numbers"),
-        F.when(F.col("speaker").rlike(r"\p{L}"), F.col("speaker")).alias("label"), head.alias("head"), masked(F.col("text")).alias("path"), clocked.alias("clocked"),
-        has_speech(F.col("text")).alias("speech"), has_speech(plain).alias("plain_speech"), has_speech(rest).alias("rest_speech"),
-        *([F.col("text"), rest.alias("rest")] if with_text else []),
+    # One step per column that others use, so that each pattern runs once a line.
+    text, plain, rest = F.col("text"), F.col("plain"), F.col("rest")
+    steps = lines.select(F.col("doc_id").cast("bigint"), F.col("line_no").cast("int"), "timestamp", "speaker", "text").dropna(subset=["doc_id", "line_no"])
+    steps = steps.withColumn("clocked", F.coalesce(text.rlike(_LEADING_CLOCK), F.lit(False)))
+    steps = steps.withColumns({"plain": F.when(F.col("clocked"), without_clock(text)).otherwise(text), "speech": has_speech(text)})
+    steps = steps.withColumn("at_colon", F.when(F.contains(plain, F.lit(":")), F.regexp_extract(plain, _LABEL, 0)).otherwise(""))
+    within = (F.col("at_colon") != "") & (F.size(F.split(F.trim("at_colon"), r"(?U)\s+")) <= DEPTH)
+    steps = steps.withColumn("rest", F.when(within, F.substr(plain, F.length("at_colon") + 1)))
+    narrow = steps.select(
+        "doc_id", "line_no", stamp_layout(F.col("timestamp")).alias("stamp"), stamp_numbers(F.col("timestamp")).alias("numbers"),
+        F.when(F.col("speaker").rlike(r"\p{L}"), F.col("speaker")).alias("label"), F.when(rest.isNotNull(), F.regexp_extract("at_colon", _LABEL, 1)).alias("head"),
+        masked(text).alias("path"), "clocked", "speech", F.when(F.col("clocked"), has_speech(plain)).otherwise(F.col("speech")).alias("plain_speech"),
+        F.when(rest.isNotNull(), has_speech(rest)).otherwise(False).alias("rest_speech"), *(["text", "rest"] if with_text else []),
     )
-    once = stored(narrow.dropna(subset=["doc_id", "line_no"]).distinct())
+    once = stored(narrow.distinct())
     labels = once.select("doc_id", "line_no", F.explode(F.array_compact(F.array("label", "head"))).alias("label"))
     pairs = labels.groupBy("doc_id", "label").agg(F.max("line_no").alias("last"))
     members = F.array_sort(F.collect_set(F.struct("speaker_id", "full_name", "role")))
     casts = cast.join(speakers.select("speaker_id", "full_name"), "speaker_id").groupBy("doc_id").agg(members.alias("cast"))
-    resolved = pairs.join(casts, "doc_id").withColumn("person", F.arrow_udf(_persons, T.StringType())("label", "cast")).filter("person is not null")
-    persons = cut(resolved.select("doc_id", "label", "person", "last"))
+    known = casts.select("doc_id", F.arrow_udf(_spellings, T.MapType(T.StringType(), T.StringType()))("cast").alias("known"))
+    form = F.trim(F.regexp_replace(F.lower("label"), r"[^\p{L}\p{N}]+", " "))
+    asked = pairs.join(known, "doc_id").withColumn("exact", F.col("known")[form])
+    # Python sees only labels that nobody is spelled like.
+    unknown = F.col("exact").isNull() & (F.size(F.split(form, " ")) <= 3)
+    near = F.arrow_udf(_persons, T.StringType())(F.when(unknown, F.col("label")), F.when(unknown, F.col("known")))
+    resolved = asked.withColumn("person", F.nullif(F.coalesce("exact", near), F.lit(""))).filter("person is not null")
+    persons = stored(resolved.select("doc_id", "label", "person", "last"))
     spoken = block_join(once, persons.withColumnRenamed("person", "labelled"), ["doc_id", "label"], F.col("line_no"), "last")
     headed = persons.select("doc_id", F.col("label").alias("head"), F.col("person").alias("headed"), "last")
     return block_join(spoken, headed, ["doc_id", "head"], F.col("line_no"), "last")
@@ -235,7 +244,7 @@ def mined_layouts(paths: DataFrame, support: float = SUPPORT, depth: int = DEPTH
 
 
 def line_layouts(read: DataFrame, share: float = SHOWN, support: float = SUPPORT) -> DataFrame:
-    """Mined layouts of texts by path: ``path``, ``layout``, ``n_lines`` of the layout, and whether it has a
+    """Mined layouts of texts by path, written to the shared folder: ``path``, ``layout``, ``n_lines`` of the layout, and whether it has a
     ``clock_slot`` and a ``speaker_slot``."""
     paths = cut(
         read.groupBy("path").agg(
@@ -248,7 +257,7 @@ def line_layouts(read: DataFrame, share: float = SHOWN, support: float = SUPPORT
         "layout", F.col("sum_n").alias("n_lines"), (F.col("sum_n_clocked") >= share * F.col("sum_n")).alias("clock_slot"),
         ((F.col("sum_n_heads") > 0) & (F.col("sum_n_named") >= share * F.col("sum_n_heads"))).alias("speaker_slot"),
     )
-    return mined.select("path", "layout").join(slots, "layout")
+    return stored(mined.select("path", "layout").join(slots, "layout"))
 
 
 def stamp_layouts(read: DataFrame, share: float = SHOWN) -> DataFrame:
@@ -256,7 +265,8 @@ def stamp_layouts(read: DataFrame, share: float = SHOWN) -> DataFrame:
     and seconds mostly exceed sixty)."""
     minor = F.forall(F.slice("numbers", F.lit(2), F.greatest(F.size("numbers") - 1, F.lit(0))), lambda n: n < 60)
     counted = read.filter("stamp is not null").groupBy("stamp").agg(F.count("*").alias("n_lines"), F.count_if(minor).alias("n_sound"))
-    return counted.select("stamp", "n_lines", F.when(F.col("n_sound") >= share * F.col("n_lines"), stamp_slots(F.col("stamp"))).alias("slots"))
+    slots = F.when(F.col("n_sound") >= share * F.col("n_lines"), stamp_slots(F.col("stamp")))
+    return stored(counted.select("stamp", "n_lines", slots.alias("slots")))
 
 
 def apply_layouts(read: DataFrame, layouts: DataFrame, stamps: DataFrame) -> DataFrame:
