@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
+def last_of_repeated_keys(spark: SparkSession) -> None:
+    """Make the session read an object that repeats a key, with the last value of it; else it is no JSON."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def whole_json(line: Column) -> Column:
     """VARIANT of a text that is one JSON value; null if it isn't.
 

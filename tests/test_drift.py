@@ -84,6 +84,62 @@ def test_union_schema_and_unified_calls(make):
     assert all(r.args[path] == f"src/a{r.call_id}.py" and r.args["limit"] == str(r.call_id) for r in unified)
 
 
+def test_the_lattice():
+    def fold(*shown):
+        whole = "VOID"
+        for one in shown:
+            whole = drift.joined(whole, drift.parse_type(one))
+        return drift.column_type(whole)
+
+    assert fold("BIGINT", "DECIMAL(3,1)") == "double" and fold("BIGINT", "VOID") == "bigint" and fold("BIGINT", "BOOLEAN") == "string"
+    assert fold("ARRAY<BIGINT>", "ARRAY<DOUBLE>", "ARRAY<VOID>") == "array<double>" and fold("ARRAY<BIGINT>", "STRING") == "string"
+    assert fold("OBJECT<a: BIGINT, b: ARRAY<OBJECT<c: STRING>>>", "OBJECT<a: DECIMAL(2,1), `d e`: BOOLEAN>") == "struct<`a`:double,`b`:array<struct<`c`:string>>,`d e`:boolean>"
+    assert fold("VOID") == "string" and fold("OBJECT<>") == "string" and fold("OBJECT<a: BIGINT, A: BIGINT>") == "string"
+
+
+def one_tool(files, tool="read"):
+    import datetime as dt
+
+    rows = []
+    for i, (client, calls) in enumerate(files):
+        for args in calls:
+            rows.append((len(rows), client, f"f{i}", len(rows), dt.datetime(2026, 1, 1) + dt.timedelta(hours=i), None, tool, json.dumps({"arguments": args}), "t"))
+    return rows
+
+
+def test_a_change_tells_a_rename_by_itself(make):
+    rows = one_tool([("c", [{"path": "a/b.py", "oldText": "some words", "newText": "more words", "limit": 5}] * 3), ("c", [{"target": "c/d.py", "search": "any words", "replacement": "new words", "max": "7"}] * 3)])
+    got = {(r.old_field, r.new_field, r.change) for r in drift.drift_log(make(rows, SCHEMA)).collect()}
+    assert got == {("path", "target", "renamed"), ("oldText", "search", "renamed"), ("newText", "replacement", "renamed"), ("limit", "max", "renamed"), ("limit", "max", "retyped")}
+
+
+def test_names_that_stand_together_are_two_arguments(make):
+    rows = one_tool([("c", [{"limit": 5}]), ("c", [{"retry": 7}]), ("d", [{"limit": 1, "retry": 2}])])
+    got = {(r.client, r.old_field, r.new_field, r.change) for r in drift.drift_log(make(rows, SCHEMA)).collect()}
+    assert got == {("c", "limit", "", "removed"), ("c", "", "retry", "added")}
+
+
+def test_calls_are_cast_to_the_union_schema(make):
+    rows = one_tool([("c", [{"n": 1, "at": {"x": 1}, "tags": ["a"]}, {"n": None}]), ("c", [{"n": 2.5, "at": {"x": 2, "y": "z"}, "tags": [1]}]), ("d", [{"N": 3, "n": 4, "flag": True}])])
+    unified = drift.unified_calls(make([*rows, *rows], SCHEMA)).orderBy("call_id")
+    types = {f.name: f.dataType.simpleString() for f in unified.schema["args"].dataType}
+    assert types == {"N": "bigint", "at": "struct<x:bigint,y:string>", "flag": "boolean", "n": "double", "tags": "array<string>"}
+    args = [r.args for r in unified.collect()]
+    assert [a["n"] for a in args] == [1.0, None, 2.5, 4.0] and [a["tags"] for a in args] == [["a"], None, ["1"], None] and tuple(args[2]["at"]) == (2, "z")
+
+
+def test_other_names_of_one_call_are_kept(make):
+    rows = one_tool([("c", [{"filePath": "a/b"}] * 3), ("c", [{"file_path": "c/d"}] * 3), *[(f"e{i}", [{"filePath": "a/b"}]) for i in range(300)], *[(f"g{i}", [{"file_path": "a/b"}]) for i in range(300)], ("d", [{"filePath": "x/y", "file_path": "z/w"}])])
+    (last,) = [r for r in drift.unified_calls(make(rows, SCHEMA)).collect() if r.client == "d"]
+    assert last.args["filePath"] == "x/y" and last.more == {"file_path": "z/w"}
+
+
+def test_long_chains_of_names_are_one_argument(make):
+    rows = one_tool([("c", [{f"name{i}": "a/b"}]) for i in range(12)])
+    (schema,) = drift.union_schema(make(rows, SCHEMA)).collect()
+    assert len(schema.names) == 12 and schema.n_files == 12
+
+
 def test_odd_calls(make):
     import datetime as dt
 
@@ -96,4 +152,6 @@ def test_odd_calls(make):
     assert (None, "f3", None, "a", "", "removed") in log and (None, "f5", None, "arguments", "arguments", "retyped") in log
     assert (None, "f6", None, "", "a", "added") in log and not any(r[1] == "f7" and r[5] == "retyped" for r in log)
     assert len(drift.unified_calls(make(rows, SCHEMA)).collect()) == len(rows)
-    assert drift.drift_log(make([], SCHEMA)).collect() == []
+    assert drift.drift_log(make([], SCHEMA)).collect() == [] and drift.unified_calls(make([], SCHEMA)).collect() == []
+    twice = row(9, "r", "t", '{"arguments": {"a": 1, "a": "x"}}')
+    assert [r.args["a"] for r in drift.unified_calls(make([twice], SCHEMA)).collect()] == ["x"]
