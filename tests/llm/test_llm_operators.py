@@ -99,6 +99,46 @@ def test_packing_beats_best_fit():
     assert len(packing.bin_completion(sizes)) < len(packing.best_fit_decreasing(sizes, packing.CAPACITY))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(3, 20), max_size=10))
+def test_search_without_limits_is_exact(sizes):
+    assert len(packing.bin_completion(sizes, 20, nodes=None, most=None)) == optimum(tuple(sorted(sizes, reverse=True)), 20)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=7), st.integers(0, 20))
+def test_fillings_are_the_undominated_ones_by_waste(items, room):
+    from collections import Counter
+
+    counts, sizes = Counter(items), sorted(set(items), reverse=True)
+    every = set()
+    for mask in range(1 << len(items)):
+        chosen = tuple(sorted((s for i, s in enumerate(items) if mask >> i & 1), reverse=True))
+        if sum(chosen) <= room:
+            left, waste = Counter(items) - Counter(chosen), room - sum(chosen)
+            if not any(s <= waste for s in left) and not any(a < b <= a + waste for a in chosen for b in left):
+                every.add(chosen)
+    got = [f for f in packing.fillings(room, sizes, counts, room) if f is not None]
+    assert len(got) == len(set(got)) and set(got) == every
+    assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+def test_many_small_items_need_no_recursion():
+    sizes = [2049] * 4 + [2] * 4093
+    packed = packing.bin_completion(sizes, 4096)
+    assert len(packed) == 5 and sorted(i for c in packed for i in c) == list(range(len(sizes)))
+
+
+def test_null_and_repeated_ids_are_spread(make):
+    rows = [(None, 700)] * 300 + [(1, 700)] * 300 + [(None, 5000)] * 3
+    packed = packing.pack_items(make(rows, "doc_id bigint, n_tokens bigint"), group_items=100).collect()
+    total = {}
+    for r in packed:
+        total[r.container] = total.get(r.container, 0) + r.n_tokens
+    assert None not in total and max(total.values()) <= packing.CAPACITY and sum(total.values()) == 600 * 700 + 15_000
+    assert len({r.container.split(".")[0] for r in packed if r.container.startswith("g")}) > 3
+
+
 def test_containers_hold_every_item_once(make):
     rng = random.Random(1)
     sizes = {i: rng.choice([0, 5, 2048, 4096, 5000, rng.randint(1, 2047)]) for i in range(400)}
