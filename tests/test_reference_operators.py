@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from conftest import rows_of
@@ -279,9 +280,29 @@ def test_incremental_refresh(spark, tmp_path):
     assert refresh() == [("a.py", "one"), ("a.py", "two"), ("b.py", "three")]
     (source / "c.py").write_text("four")
     assert len(refresh()) == 4
+    (source / "a.py").write_text("one\nchanged")
+    (source / "b.py").unlink()
+    (source / "d.py").write_text("")
+    assert refresh() == [("a.py", "changed"), ("a.py", "one"), ("c.py", "four")]
+    assert refresh() == refresh()
+    query = incremental.follow_files(spark, str(source), folder, str(tmp_path / "other"), parse, continuous=True)
+    for name in ("c.py", "d.py"):
+        (source / name).unlink()
+    (source / "e.py").write_text("five")
+    for _ in range(60):
+        time.sleep(1)
+        if sorted(r.symbol for r in spark.read.parquet(folder).collect()) == ["changed", "five", "one"]:
+            break
+    query.stop()
+    assert sorted(r.symbol for r in spark.read.parquet(folder).collect()) == ["changed", "five", "one"]
+    (source / "e.py").write_bytes(b"\xff")
+    failing = incremental.follow_files(spark, str(source), folder, str(tmp_path / "third"), lambda files: files.select("missing"))
+    with pytest.raises(Exception, match="missing"):
+        failing.awaitTermination(60)
+    assert "missing" in str(failing.exception())
     batch = spark.createDataFrame([(next(r.file_path for r in spark.read.parquet(folder).collect() if r.file_path.endswith("a.py")), "new")], "file_path string, symbol string")
     incremental.replace_files(batch, folder)
-    assert sorted(r.symbol for r in spark.read.parquet(folder).collect()) == ["four", "new", "three"]
+    assert sorted(r.symbol for r in spark.read.parquet(folder).collect()) == ["five", "new"]
 
 
 def test_queries_have_sql_of_the_same_name():
