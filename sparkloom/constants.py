@@ -19,21 +19,18 @@ KIND_ORDER = (
 FORWARD_KINDS = ("calls", "references", "instantiates")
 TYPE_KINDS = ("extends", "implements")
 CALLER_KINDS = ("calls", "references", "imports", "instantiates")
-SCOPES = ("main", "test", "all")
 
 BODY_LINES = 200
 OUTPUT_CHARS = 40_000
 NEIGHBORS = 8
-OTHER_MATCHES = 10
-ROUTES = 30
+MEMBERS_SHOWN = 50
+DEPENDENTS_SHOWN = 8
 PATHS = 20
-TARGETS = 3
 EXPANSION_SHOWN = 60
 MAX_DEPTH = 12
 DEFAULT_DEPTH = 6
 IMPACT_DEPTH = 2
 HITS_PER_FILE = 100
-HITS = 200
 
 #: Preference of subtitle formats.
 FORMAT_SCORES = {"json3": 70, "srv3": 65, "ttml": 55, "srv2": 50, "srv1": 45, "vtt": 40, "srt": 35}

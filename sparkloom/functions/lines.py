@@ -37,15 +37,16 @@ def capped(text: Column, most: int = OUTPUT_CHARS) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.substr(cut, F.lit(1), at), F.lit("\n\n… (output truncated)")))
 
 
-def literal_hits(texts: DataFrame, key: str, literal: str, most: int | None = HITS_PER_FILE) -> DataFrame:
-    """Lines that contain ``literal``: the key, ``line_no`` and ``line``; the first ``most`` of each text."""
+def literal_hits(texts: DataFrame, key: str, literal: str, most: int | None = HITS_PER_FILE, in_all: int | None = None) -> DataFrame:
+    """Lines that contain ``literal``: the key, ``line_no`` and ``line``; the first ``most`` of each text, and for a
+    report the first ``in_all`` by key."""
     holding = texts.filter(F.contains("text", F.lit(literal)))
     lines = holding.select(key, F.posexplode(body_lines(F.col("text"))).alias("i", "line"))
     hits = lines.filter(F.contains("line", F.lit(literal))).select(key, (F.col("i") + 1).alias("line_no"), "line")
-    if most is None:
-        return hits
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("line_no"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    if most is not None:
+        rank = F.row_number().over(Window.partitionBy(key).orderBy("line_no"))
+        hits = hits.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    return hits if in_all is None else hits.orderBy(key, "line_no").limit(in_all)
 
 
 def slice_of(lines: DataFrame, nodes: DataFrame) -> DataFrame:

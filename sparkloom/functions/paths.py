@@ -66,3 +66,15 @@ def file_language(path: Column) -> Column:
     extension = F.regexp_extract(path, r"(?:^|/)[^/]*[^/.][^/]*?\.([^./]*)$", 1)
     known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     return F.coalesce(known[extension], extension)
+
+
+def query_form(query: Column) -> Column:
+    """A query without white space around it and one leading ``@``."""
+    return F.regexp_replace(F.regexp_replace(query, r"(?U)^\s+|\s+$", ""), "^@", "")
+
+
+def episode_id(source: Column) -> Column:
+    """Number of a podcast episode: the source itself if it is all digits, else the first filled parameter ``i`` of its
+    address; null without one."""
+    parameter = F.nullif(F.url_decode(F.regexp_extract(source, r"[?&]i=([^&#]+)", 1)), F.lit(""))
+    return F.when(source.rlike(r"^\d+$"), source).otherwise(parameter)

@@ -83,9 +83,10 @@ def replace_first(text: Column, mark: str, value: Column) -> Column:
 
 
 def filled_template(template: Column, values: dict[str, Column]) -> Column:
-    """A template with each ``{{name}}`` filled once; an empty value takes its line's blank lines along."""
+    """A template with the first ``{{name}}`` of each value filled; an empty value takes its mark and the two line
+    ends behind it out, and leaves a mark without them as it is."""
     for name, value in values.items():
         mark = "{{" + name + "}}"
         kept = F.coalesce(value, F.lit(""))
-        template = replace_first(template, mark, kept)
-    return F.regexp_replace(template, r"\n{3,}", "\n\n")
+        template = F.when(kept != "", replace_first(template, mark, kept)).otherwise(replace_first(template, f"{mark}\n\n", F.lit("")))
+    return template

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.constants import CALLER_KINDS, CONTAINER_KINDS, DEFAULT_DEPTH, FORWARD_KINDS, IMPACT_DEPTH, KIND_ORDER, MAX_DEPTH, NEIGHBORS, NON_SYMBOL_KINDS, PATHS, ROUTES, TYPE_KINDS
+from sparkloom.constants import CALLER_KINDS, CONTAINER_KINDS, DEFAULT_DEPTH, DEPENDENTS_SHOWN, EXPANSION_SHOWN, FORWARD_KINDS, IMPACT_DEPTH, KIND_ORDER, MAX_DEPTH, MEMBERS_SHOWN, NEIGHBORS, NON_SYMBOL_KINDS, PATHS, TYPE_KINDS
 from sparkloom.functions.paths import base_name, in_scope, lookup_form
 from sparkloom.session import cut
 
@@ -123,9 +123,9 @@ def tokens_of(name: Column) -> Column:
     return F.filter(F.split(F.lower(spaced), " "), lambda t: t != "")
 
 
-def candidates(nodes: DataFrame, query: str, fuzzy: int = 20) -> DataFrame:
+def candidates(nodes: DataFrame, query: str, fuzzy: int | None = None) -> DataFrame:
     """Symbols that a name may mean, with ``tier``: 0 exact, 1 in another case, 2 part of the qualified
-    name, 3 close by words or spelling (the best ``fuzzy``, only for a query without white space).
+    name, 3 close by words or spelling (the best ``fuzzy``, all if None; only for a query without white space).
 
     ``position`` (a struct) orders them: tier, exact case, kind, line, path by locale, id.
     """
@@ -138,7 +138,8 @@ def candidates(nodes: DataFrame, query: str, fuzzy: int = 20) -> DataFrame:
         distance = F.levenshtein(F.lower("name"), F.lit(lower))
         close = symbols.withColumn("tier", tier).filter(F.col("tier").isNull()).withColumns({"tier": F.lit(3), "shared": shared, "distance": distance})
         close = close.filter((F.col("shared") > 0) | (F.col("distance") <= max(1, len(query) // 3)))
-        found = found.unionByName(close.orderBy(F.desc("shared"), "distance", "id").limit(fuzzy).drop("shared", "distance"))
+        best = close if fuzzy is None else close.orderBy(F.desc("shared"), "distance", "id").limit(fuzzy)
+        found = found.unionByName(best.drop("shared", "distance"))
     exact = F.col("name") == query
     position = F.struct(
         F.col("tier"), (~exact).alias("inexact"), kind_rank(F.col("kind")).alias("kind_rank"), F.col("start_line"),
@@ -217,6 +218,41 @@ def top_per_group(rows: DataFrame, group: list[str], order: list, most: int) ->
     return ranked.join(rows.groupBy(*group).agg(F.count("*").alias("of")), group)
 
 
+def file_symbols(nodes: DataFrame, most: int = MEMBERS_SHOWN) -> DataFrame:
+    """Symbols of every file by their start line: the first ``most`` with their ``rank`` and the number of all (``of``)."""
+    return top_per_group(nodes.filter(is_symbol(F.col("kind"))), ["file_path"], ["start_line", "id"], most)
+
+
+def members_shown(nodes: DataFrame, edges: DataFrame, most: int = MEMBERS_SHOWN) -> DataFrame:
+    """Symbol members of every container (``parent``) by their start line: the first ``most``, ``rank`` and ``of``."""
+    held = children(edges).join(nodes.filter(is_container(F.col("kind"))).select(F.col("id").alias("parent")), "parent", "left_semi").distinct()
+    members = held.withColumnRenamed("child", "id").join(nodes.filter(is_symbol(F.col("kind"))), "id")
+    return top_per_group(members, ["parent"], ["start_line", "id"], most)
+
+
+def dependents_shown(dependents: DataFrame, most: int = DEPENDENTS_SHOWN) -> DataFrame:
+    """The first ``most`` ``dependent`` files of each ``path``, ``rank`` and ``of``."""
+    return top_per_group(dependents, ["path"], ["dependent"], most)
+
+
+def more_note(shown: Column, of: Column) -> Column:
+    """``+N more`` where more exist than are shown, else empty."""
+    return F.when(of > shown, F.format_string("+%d more", of - shown)).otherwise("")
+
+
+def neighbor_text(display: Column, file_path: Column, start_line: Column, kind: Column, inferred: Column) -> Column:
+    """``name (file:line) [kind]``, with a mark on inferred edges."""
+    return F.concat(display, F.lit(" ("), file_path, F.lit(":"), start_line.cast("string"), F.lit(") ["), kind, F.when(inferred, " (inferred)").otherwise(""), F.lit("]"))
+
+
+def shown_by_depth(reached: DataFrame, most: int = EXPANSION_SHOWN) -> DataFrame:
+    """The first ``most`` rows of what is ``reached`` (``id``, ``depth``) by depth, with their ``rank`` and the number of
+    all of a depth (``of``)."""
+    return reached.orderBy("depth", "id").limit(most).withColumn("rank", F.row_number().over(Window.orderBy("depth", "id"))).join(
+        reached.groupBy("depth").agg(F.count("*").alias("of")), "depth"
+    )
+
+
 def file_dependents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``path`` and each other file (``dependent``) with a symbol that leads into it."""
     files = nodes.select("id", "file_path")
@@ -271,6 +307,12 @@ def impact_radius(edges: DataFrame, roots: DataFrame, depth: int = IMPACT_DEPTH)
     return expand(back, seeds, depth, ("root",)).filter("depth > 0").select("root", "id", "depth")
 
 
+def impact_summary(edges: DataFrame, roots: DataFrame, nodes: DataFrame, depth: int = IMPACT_DEPTH) -> DataFrame:
+    """``root``, the number of its ``dependents`` and of the distinct ``files`` that hold them."""
+    reached = impact_radius(edges, roots, depth).join(nodes.select("id", "file_path"), "id", "left")
+    return reached.groupBy("root").agg(F.count("*").alias("dependents"), F.count_distinct("file_path").alias("files"))
+
+
 def callers(edges: DataFrame, roots: DataFrame, depth: int = 1) -> DataFrame:
     """Who calls, references, imports or instantiates the roots within ``depth`` hops."""
     back = edges.filter(F.col("kind").isin(*CALLER_KINDS)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -299,9 +341,10 @@ def callable_members(nodes: DataFrame, edges: DataFrame, targets: DataFrame) ->
     return pairs.unionByName(own.select("target", F.col("target").alias("id")).join(pairs.select("target"), "target", "left_anti"))
 
 
-def routes(nodes: DataFrame, scope: str = "all", most: int = ROUTES) -> DataFrame:
-    """Entry points ``@http``: the first routes in scope."""
-    return nodes.filter((F.col("kind") == "route") & in_scope(F.col("file_path"), scope)).orderBy("file_path", "start_line", "id").limit(most)
+def routes(nodes: DataFrame, scope: str = "all", most: int | None = None) -> DataFrame:
+    """Entry points ``@http``: the routes in scope, for a report the first ``most`` (``ROUTES``)."""
+    found = nodes.filter((F.col("kind") == "route") & in_scope(F.col("file_path"), scope))
+    return found if most is None else found.orderBy("file_path", "start_line", "id").limit(most)
 
 
 def member_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, targets: DataFrame, scope: str = "all", depth: int | None = None, most: int | None = PATHS, max_targets: int | None = None, max_sources: int | None = None) -> DataFrame:
@@ -310,7 +353,7 @@ def member_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame, targets
 
     The leaves of a target stop each other: a path ends at the first it meets, so they are absorbing in
     one traversal per source and target. All are asked unless ``max_sources`` or ``max_targets`` is given
-    (``ROUTES`` and ``TARGETS`` for a report on ``@http``); ``most`` limits the paths shown, shortest first,
+    (30 and 3 for a report on ``@http``); ``most`` limits the paths shown, shortest first,
     and None gives all.
     """
     sources, targets = (rows.orderBy("id").limit(n) if n is not None else rows for rows, n in ((sources, max_sources), (targets, max_targets)))

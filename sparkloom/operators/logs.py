@@ -4,8 +4,8 @@ Lines (``path``, ``line_no``, ``line``) are parsed once into VARIANT and project
 messages; tool calls are exploded from it. Filters on sessions join the small table of sessions, so
 that they apply before any aggregation; all aggregates are partial before their shuffle.
 
-Defined cases: blank lines, lines that are no JSON (with a repeated key in an object counting as none)
-and JSON other than objects are skipped; a line delivered again counts once; null counts are 0; a
+Defined cases: blank lines, lines that are no JSON and JSON other than objects are skipped; of a repeated
+key in an object the last value counts; a line delivered again counts once; null counts are 0; a
 missing model, tool or name is ``?``. Ties are broken by the key in ascending order.
 """
 
@@ -14,22 +14,25 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.constants import BAR_WIDTH, PATH_KEYS, TOP_ROWS
+from sparkloom.constants import BAR_WIDTH, PATH_KEYS, REPORT_SECTIONS, TOP_ROWS
 from sparkloom.functions.paths import base_name, command_head, parent_name, suffix
-from sparkloom.functions.variants import objects_of
+from sparkloom.functions.variants import last_of_repeated_keys, objects_of
+from sparkloom.session import stored
 
 MONEY = "decimal(38,10)"
 COUNTS = {"input": "input", "output": "output", "cache_read": "cacheRead", "cache_write": "cacheWrite", "reasoning": "reasoning", "total": "totalTokens"}
 
 
 def entries(lines: DataFrame) -> DataFrame:
-    """Entries (JSON objects) as VARIANT ``v`` with ``path``, ``line_no``, ``type``, ``timestamp`` and ``cwd``."""
-    once = lines.select("path", "line_no", "line").distinct()
-    parsed = once.select("path", "line_no", objects_of(F.col("line")).alias("v"))
-    return parsed.select("path", "line_no", "v", *[F.try_variant_get("v", f"$.{k}", "string").alias(k) for k in ("type", "timestamp", "cwd")])
+    """Entries (JSON objects) as VARIANT ``v`` with ``path``, ``line_no``, ``line_hash``, ``type``, ``timestamp`` and
+    ``cwd``. Lines delivered again are still there; they are left out behind the projections, so that no
+    whole line is shuffled."""
+    last_of_repeated_keys(lines.sparkSession)
+    parsed = lines.select("path", "line_no", F.xxhash64("line").alias("line_hash"), objects_of(F.col("line")).alias("v"))
+    return parsed.select("path", "line_no", "line_hash", "v", *[F.try_variant_get("v", f"$.{k}", "string").alias(k) for k in ("type", "timestamp", "cwd")])
 
 
 def sessions(parsed: DataFrame) -> DataFrame:
@@ -60,9 +63,10 @@ def messages(parsed: DataFrame) -> DataFrame:
         return F.try_variant_get("v", f"$.message.{path}", kind)
 
     counts = [F.coalesce(get(f"usage.{key}", "bigint"), F.lit(0)).alias(name) for name, key in COUNTS.items()]
-    return parsed.filter(F.col("type") == "message").select(
+    rows = parsed.filter(F.col("type") == "message").select(
         "path",
         "line_no",
+        "line_hash",
         get("role", "string").alias("role"),
         F.coalesce(F.nullif(get("model", "string"), F.lit("")), F.lit("?")).alias("model"),
         F.coalesce(F.nullif(get("toolName", "string"), F.lit("")), F.lit("?")).alias("tool_name"),
@@ -72,6 +76,8 @@ def messages(parsed: DataFrame) -> DataFrame:
         F.coalesce(get("usage.cost.total", MONEY), F.lit(0).cast(MONEY)).alias("cost"),
         get("content", "variant").alias("content"),
     )
+    # columns that no one asks for are not kept by the aggregate either
+    return rows.dropDuplicates(["path", "line_no", "line_hash"]).drop("line_hash")
 
 
 def in_sessions(rows: DataFrame, kept: DataFrame) -> DataFrame:
@@ -87,9 +93,7 @@ def tool_calls(rows: DataFrame) -> DataFrame:
 
     def filled(key: str) -> Column:
         value = F.try_variant_get("block", f"$.{key}", "variant")
-        kind = F.schema_of_variant(value)
-        empty = kind.isin("VOID", "OBJECT<>") | ((kind == "STRING") & (F.try_variant_get(value, "$", "string") == ""))
-        return F.when(~empty, value)
+        return F.when(_filled(value), value)
 
     args = F.coalesce(filled("arguments"), filled("input"))
     return calls.select(
@@ -114,10 +118,21 @@ def argument_paths(args: Column) -> Column:
     return F.concat(*map(of, PATH_KEYS))
 
 
+def _filled(value: Column) -> Column:
+    """The value is there and neither null, false, zero, an empty text, an empty list nor an empty object."""
+    kind = F.schema_of_variant(value)
+    nothing = (
+        kind.isin("VOID", "OBJECT<>")
+        | (kind.startswith("ARRAY") & (F.to_json(value) == "[]"))
+        | ((kind == "STRING") & (F.try_variant_get(value, "$", "string") == ""))
+        | ((kind == "BOOLEAN") & ~F.try_variant_get(value, "$", "boolean"))
+        | (F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False)) & (F.try_variant_get(value, "$", "double") == 0))
+    )
+    return value.isNotNull() & ~F.coalesce(nothing, F.lit(False))
+
+
 def _truthy(args: Column, key: str) -> Column:
-    value = F.try_variant_get(args, f"$.{key}", "variant")
-    text = F.try_variant_get(value, "$", "string")
-    return F.coalesce(F.schema_of_variant(value) != "VOID", F.lit(False)) & ~F.coalesce(text.isin("", "false") | (text.try_cast("double") == 0), F.lit(False))
+    return _filled(F.try_variant_get(args, f"$.{key}", "variant"))
 
 
 def bar(share: Column, width: int = BAR_WIDTH) -> Column:
@@ -219,16 +234,30 @@ def last_assistant_texts(rows: DataFrame) -> DataFrame:
     return texts.groupBy("path").agg(F.max("line_no").alias("line_no"), F.max_by("text", "line_no").alias("text"))
 
 
+def entries_of_files(lines: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Headers of sessions in ``parsed``, and a row of nulls for every file, as a file without a header is a
+    session too."""
+    columns = ["path", "line_no", "type", "timestamp", "cwd"]
+    files = lines.select("path").distinct()
+    return parsed.filter(F.col("type") == "session").select(*columns).unionByName(files, allowMissingColumns=True)
+
+
+def per_session(overview: DataFrame) -> DataFrame:
+    """With the means per session: ``mean_tokens`` (whole) and ``mean_cost``."""
+    some = F.nullif("sessions", F.lit(0))
+    return overview.withColumns({"mean_tokens": F.floor(F.col("total") / some), "mean_cost": F.round(F.col("cost") / some, 3)})
+
+
 def report(lines: DataFrame, projects: tuple[str, ...] = (), since: str = "", until: str = "", model: str = "", top: int = TOP_ROWS) -> dict[str, DataFrame]:
     """All sections of the log report, one table each."""
-    parsed = entries(lines)
-    kept = filter_sessions(sessions(parsed), projects, since, until)
+    parsed = stored(entries(lines).filter(F.col("type").isin("session", "message")))
+    kept = stored(filter_sessions(sessions(entries_of_files(lines, parsed)), projects, since, until))
     rows = in_sessions(messages(parsed), kept)
     priced = rows.withColumn("has_usage", F.col("has_usage") & F.col("model").contains(model))
     calls = tool_calls(rows)
     totals = usage_totals(priced)
     return {
-        "overview": totals.join(F.broadcast(period_bounds(kept))),
+        "overview": per_session(totals.drop("sessions").join(F.broadcast(period_bounds(kept))).join(F.broadcast(kept.agg(F.count("*").alias("sessions"))))),
         "models": cost_by_model(priced).orderBy(F.desc("cost"), "model").limit(top),
         "cache": cache_hit_rate(totals),
         "tools": tool_leaderboard(rows, calls, top),
@@ -238,7 +267,46 @@ def report(lines: DataFrame, projects: tuple[str, ...] = (), since: str = "", un
     }
 
 
+def chosen_sections(sections: dict[str, DataFrame], only: tuple[str, ...] = ()) -> list[tuple[str, DataFrame]]:
+    """The sections asked for, in the order of the report; names that there are none of are left out."""
+    return [(name, sections[name]) for name in REPORT_SECTIONS if name in sections and (not only or name in only)]
+
+
 def report_json(sections: dict[str, DataFrame], only: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the chosen sections as ``section`` and ``record`` (JSON)."""
-    chosen = [df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("record")) for name, df in sections.items() if not only or name in only]
+    chosen = [df.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("record")) for name, df in chosen_sections(sections, only)]
     return functools.reduce(DataFrame.unionByName, chosen)
+
+
+def _money(value: Column, digits: int, width: int = 0) -> Column:
+    return F.format_string(f"%,{width or ''}.{digits}f", value)
+
+
+def report_text(sections: dict[str, DataFrame], only: tuple[str, ...] = ()) -> DataFrame:
+    """The report for reading: ``section``, ``line_no`` and ``line``. A section of no rows has no lines."""
+    count = lambda name: F.format_string("%,d", F.col(name).cast("bigint"))
+    forms = {
+        "overview": [
+            F.concat(F.lit("sessions "), count("sessions"), F.lit(", messages "), count("messages")),
+            F.concat(F.lit("period "), F.substr("first", F.lit(1), F.lit(10)), F.lit(" .. "), F.substr("last", F.lit(1), F.lit(10))),
+            F.concat(F.lit("tokens "), count("total"), F.lit(", cost $"), _money(F.col("cost"), 2)),
+            F.concat(F.lit("per session "), count("mean_tokens"), F.lit(" tokens, $"), _money(F.col("mean_cost"), 3)),
+        ],
+        "models": [F.concat("bar", F.lit(" $"), _money(F.col("cost"), 2), F.lit(" "), count("tokens"), F.lit(" tokens "), "model")],
+        "cache": [
+            F.concat(F.lit("read "), count("cache_read"), F.lit(", written "), count("cache_write"), F.lit(", input "), count("input"), F.lit(", output "), count("output")),
+            F.format_string("hit rate %.1f%%", "hit_rate"),
+        ],
+        "tools": [F.concat("name", F.lit(" "), count("calls"), F.lit(" calls, "), count("errors"), F.lit(" errors, "), F.format_string("%.1f%%", "rate"))],
+        "files": [F.concat("extension", F.lit(" "), count("reads"), F.lit(" reads, "), count("ranged"), F.lit(" ranged, "), count("full"), F.lit(" full, "), count("edits"), F.lit(" edits, "), F.format_string("%.0f%% ranged", "ranged_percent"))],
+        "bash": [F.concat(count("n"), F.lit(" "), "head")],
+        "sessions": [F.concat(F.lit("$"), _money(F.col("cost"), 3), F.lit(" "), count("tokens"), F.lit(" tokens, "), count("calls"), F.lit(" calls "), "day", F.lit(" "), "project")],
+    }
+    order = {"models": [F.desc("cost"), "model"], "tools": [F.desc("calls"), "name"], "files": [F.desc("reads"), "extension"], "bash": [F.desc("n"), "head"], "sessions": [F.desc("cost"), "path"]}
+
+    def lines_of(name: str, df: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.orderBy(*order[name])) if name in order else F.lit(1)  # a section is a short report
+        lines = df.select(rank.alias("rank"), F.posexplode(F.array(*forms[name])).alias("i", "line"))
+        return lines.filter("line is not null").select(F.lit(name).alias("section"), (F.col("rank") + F.col("i")).cast("int").alias("line_no"), "line")
+
+    return functools.reduce(DataFrame.unionByName, [lines_of(name, df) for name, df in chosen_sections(sections, only)])

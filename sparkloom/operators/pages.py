@@ -19,6 +19,8 @@ THIN_WORDS = 100
 OVERSIZED_WORDS = 2000
 MISSING_PAGES = 3
 INDEX = "index"
+#: A wiki link; its target is the group.
+LINK = r"\[\[([^\[\]|#\n]+)(?:[|#][^\]\n]*)?\]\]"
 
 
 def body_of(text: Column) -> Column:
@@ -64,7 +66,7 @@ def pages(documents: DataFrame) -> DataFrame:
 
 def links(table: DataFrame) -> DataFrame:
     """``doc_id``, ``name`` of the page and ``target`` of each wiki link."""
-    found = F.regexp_extract_all("body", F.lit(r"\[\[([^\[\]|#\n]+)(?:[|#][^\]\n]*)?\]\]"), 1)
+    found = F.regexp_extract_all("body", F.lit(LINK), 1)
     return table.select("doc_id", "name", F.explode(found).alias("target")).withColumn("target", F.lower(stripped(F.col("target")))).filter(F.col("target") != "")
 
 
@@ -91,10 +93,14 @@ def orphans(table: DataFrame) -> DataFrame:
 
 def index_drift(table: DataFrame) -> DataFrame:
     """Index entries without a page (``missing page``) and pages without an entry (``not listed``)."""
-    entries = links(table.filter(F.col("name") == INDEX)).select("target").distinct()
-    names = page_names(table.filter(F.col("name") != INDEX))
-    missing = entries.join(names, "target", "left_anti").withColumn("drift", F.lit("missing page"))
-    return missing.unionByName(names.join(entries, "target", "left_anti").withColumn("drift", F.lit("not listed")))
+    found = F.regexp_extract_all("body", F.lit(LINK), 1)
+    of_index = F.transform(found, lambda t: F.struct(F.lower(stripped(t)).alias("target"), F.lit(True).alias("listed")))
+    own = F.array(F.struct(F.col("name").alias("target"), F.lit(False).alias("listed")))
+    # one scan: a page gives its own name, the index what it lists
+    rows = table.select(F.explode(F.when(F.col("name") == INDEX, of_index).otherwise(own)).alias("r")).select("r.*").filter(F.col("target") != "")
+    sides = rows.groupBy("target").agg(F.bool_or("listed").alias("listed"), F.bool_or(~F.col("listed")).alias("there"))
+    drift = F.when(F.col("listed") & ~F.col("there"), "missing page").when(F.col("there") & ~F.col("listed"), "not listed")
+    return sides.select("target", drift.alias("drift")).filter("drift is not null")
 
 
 def sizes(table: DataFrame) -> DataFrame:
@@ -155,3 +161,16 @@ def duplicate_texts(documents: DataFrame) -> DataFrame:
 def upserted(existing: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with those of equal keys replaced by the changes."""
     return existing.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes)
+
+
+def archived(files: DataFrame, processed: DataFrame) -> DataFrame:
+    """Files (``dir``, ``name``) with their ``status``: archived once they are ``processed`` (``name``), else what their
+    directory says."""
+    done = processed.select("name").distinct().withColumn("_done", F.lit(True))
+    by_dir = F.when(F.col("dir").startswith("archive"), "archived").otherwise("active")
+    return files.join(done, "name", "left").withColumn("status", F.when(F.col("_done"), "archived").otherwise(by_dir)).drop("_done")
+
+
+def log_line(date: Column, verb: Column, subject: Column) -> Column:
+    """Heading of an entry for the append-only log; write entries with mode ``append``."""
+    return F.concat(F.lit("## ["), date, F.lit("] "), verb, F.lit(" | "), subject)

@@ -92,8 +92,12 @@ def labelled_answers(answers: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def gated_findings(findings: DataFrame, gate: int = GATE) -> DataFrame:
-    """Findings (``axis``, ``severity``, ``score``) kept: of ``gate`` or more, and P3 only if certain."""
-    return findings.filter((F.col("score") >= gate) & ((F.col("severity") != "P3") | (F.col("score") >= 100)))
+    """Findings (``axis``, ``severity``, ``score``) kept: those of ``gate`` or more, and those without a severity,
+    which are judgement calls. Where the findings say whether they are ``unambiguous``, P3 only if so."""
+    kept = findings.filter((F.col("score") >= gate) | F.col("severity").isNull())
+    if "unambiguous" in findings.columns:
+        kept = kept.filter(F.col("severity").isNull() | (F.col("severity") != "P3") | F.col("unambiguous"))
+    return kept
 
 
 def verdict(score: Column) -> Column:

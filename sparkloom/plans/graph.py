@@ -141,8 +141,9 @@ def neighborhood_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def impact_radius(spark: SparkSession, d: str) -> DataFrame:
     roots = table(spark, d, "nation").selectExpr("concat('n', n_nationkey) id")
-    reached = graph.impact_radius(order_edges(spark, d), roots)
-    return reached.groupBy("root").agg(F.count("*").alias("dependents"), F.count_if(F.col("depth") == 1).alias("direct"), F.count_distinct(F.substr("id", F.lit(1), F.lit(1))).alias("kinds"))
+    files = place_nodes(spark, d).select("id", F.concat(F.lit("src/main/"), F.substr("name", F.lit(-2)), F.lit(".java")).alias("file_path"))
+    orders = table(spark, d, "orders").selectExpr("concat('o', o_orderkey) id", "concat('src/orders/', o_orderpriority, '.java') file_path")
+    return graph.impact_summary(order_edges(spark, d), roots, files.unionByName(orders))
 
 
 def reach_forward(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:
@@ -176,7 +177,11 @@ def paths_with_barrier(spark: SparkSession, d: str, edges: Edges = small_edges)
 
 def unreached_members(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:
     reached, members = _stopped(spark, d, edges)
-    return members.join(reached, "id", "left_anti")
+    targets = table(spark, d, "part").filter(F.col("p_brand") == BRAND).select(F.col("p_partkey").alias("id"))
+    nodes = part_nodes(spark, d).filter(F.col("p_brand") == BRAND)
+    none = edges(spark, d).limit(0)
+    found = reached.select(F.col("id").alias("target"), F.col("id").alias("leaf"))
+    return graph.unreached_members(nodes, none, targets, found).select(F.col("leaf").alias("id"))
 
 
 def member_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -264,9 +269,9 @@ UNION ALL SELECT x, x FROM (SELECT 'n' || n_nationkey AS x FROM nation UNION ALL
  UNION ALL SELECT 'c' || c_custkey, 'out', 'references', 'n' || c_nationkey, 0 FROM customer WHERE c_custkey % 100 = 0)
 SELECT focal, direction, bucket, id, CAST(row_number() OVER w AS INT) AS rank, count(*) OVER (PARTITION BY focal, direction, bucket) AS of FROM b
 WINDOW w AS (PARTITION BY focal, direction, bucket ORDER BY line, id) QUALIFY row_number() OVER w <= 8""",
-    "impact_radius": """WITH d AS (SELECT 'n' || c_nationkey AS root, 'c' || c_custkey AS id, 1 AS depth FROM customer UNION ALL
- SELECT 'n' || c_nationkey, 'o' || o_orderkey, 2 FROM customer JOIN orders ON o_custkey = c_custkey)
-SELECT root, count(*) AS dependents, count(*) FILTER (depth = 1) AS direct, count(DISTINCT substr(id, 1, 1)) AS kinds FROM d GROUP BY root""",
+    "impact_radius": """WITH d AS (SELECT 'n' || c_nationkey AS root, 'src/main/' || right(c_name, 2) || '.java' AS file FROM customer UNION ALL
+ SELECT 'n' || c_nationkey, 'src/orders/' || o_orderpriority || '.java' FROM customer JOIN orders ON o_custkey = c_custkey)
+SELECT root, count(*) AS dependents, count(DISTINCT file) AS files FROM d GROUP BY root""",
     "reach_forward": _REACH.format(edges=_EDGES, t="e", depth=6, more="") + " SELECT id, min(depth) AS depth FROM r GROUP BY id",
     "reach_backward": _REACH.format(edges=_BACK, t="b", depth=6, more="") + " SELECT id, min(depth) AS depth FROM r GROUP BY id",
     "callers_of": _REACH.format(edges=_BACK, t="b", depth=2, more="") + " SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0",

@@ -135,7 +135,7 @@ b AS (SELECT path, line_no, pos, block FROM (
 c AS (
   SELECT path, line_no, name, CASE WHEN json_type(args) = 'OBJECT' THEN args END AS args FROM (
     SELECT path, line_no, coalesce(nullif(block->>'$.name', ''), '?') AS name,
-      coalesce(CASE WHEN a::VARCHAR NOT IN ('null', '""', '{}') THEN a END, CASE WHEN i::VARCHAR NOT IN ('null', '""', '{}') THEN i END) AS args
+      coalesce(CASE WHEN a::VARCHAR NOT IN ('null', '""', '{}', '[]', 'false', '0', '0.0', '-0') THEN a END, CASE WHEN i::VARCHAR NOT IN ('null', '""', '{}', '[]', 'false', '0', '0.0', '-0') THEN i END) AS args
     FROM (SELECT *, json_extract(block, '$.arguments') AS a, json_extract(block, '$.input') AS i FROM b WHERE block->>'$.type' = 'toolCall'))),
 p AS (
   SELECT path, name, args, unnest(flatten([CASE WHEN json_type(args, '$.' || k) = 'VARCHAR' THEN [args->>('$.' || k)]

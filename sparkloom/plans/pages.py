@@ -162,9 +162,10 @@ SELECT path, line_no, number, coalesce(nullif(q->>'$.label', ''), 'Q' || number)
     "visible_tools": _BASE
     + """, t AS (SELECT path, line_no, trim(block->>'$.name') AS name, min(pos) AS pos FROM b WHERE block->>'$.type' = 'toolCall' AND trim(block->>'$.name') NOT IN ('', 'grep') GROUP BY 1, 2, 3)
 SELECT path, line_no, string_agg(name, ', ' ORDER BY pos) AS tools FROM t GROUP BY 1, 2""",
-    "confidence_gate": """SELECT o_orderpriority AS axis, count(*) AS kept, CAST(sum(o_orderkey % 101) AS BIGINT) AS score FROM orders WHERE o_orderkey % 101 >= 80 AND (o_orderstatus IN ('F', 'O') OR o_orderkey % 101 >= 100) GROUP BY 1""",
+    "confidence_gate": """SELECT o_orderpriority AS axis, count(*) AS kept, CAST(sum(o_orderkey % 101) AS BIGINT) AS score FROM orders WHERE o_orderkey % 101 >= 80 GROUP BY 1""",
     "filter_sort_limit": """SELECT o_orderkey, printf('%.1fK', floor(o_totalprice) / 1000.0) AS price FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000 AND o_orderdate >= TIMESTAMP '1997-01-01' ORDER BY o_totalprice DESC, o_orderkey LIMIT 5""",
     "set_ops": """WITH c AS (SELECT DISTINCT c_nationkey AS nation FROM customer), s AS (SELECT DISTINCT s_nationkey AS nation FROM supplier)
 SELECT 'union' AS set, nation FROM (SELECT * FROM c UNION SELECT * FROM s) UNION ALL SELECT 'both', nation FROM c WHERE nation IN (SELECT nation FROM s) UNION ALL SELECT 'only customers', nation FROM c WHERE nation NOT IN (SELECT nation FROM s)""",
-    "prompt_template": r"""SELECT doc_id, regexp_replace('Source: ' || coalesce(source, '') || chr(10) || chr(10) || coalesce(lang, '') || chr(10) || chr(10) || 'Space: ' || coalesce(space, '') || ' {{space}}', '\n{3,}', chr(10) || chr(10), 'g') AS prompt FROM documents""",
+    "prompt_template": r"""SELECT doc_id, 'Source: ' || CASE WHEN source <> '' THEN source || chr(10) || chr(10) ELSE '' END || CASE WHEN lang <> '' THEN lang || chr(10) || chr(10) ELSE '' END
+ || 'Space: ' || CASE WHEN space <> '' THEN space ELSE '{{space}}' END || ' {{space}}' AS prompt FROM documents""",
 }

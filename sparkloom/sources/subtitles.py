@@ -51,19 +51,21 @@ def cues_of_json3(text: str) -> list[dict]:
     return [{"seconds": float(e.get("tStartMs", 0)) / 1000, "text": "".join(s.get("utf8", "") for s in e["segs"])} for e in events]
 
 
-def cues_of_xml(text: str) -> list[dict]:
-    """Elements ``p`` and ``text`` of any namespace with a start: ``begin`` (clock), ``t`` (ms) or ``start``."""
+def cues_of_xml(text: str, podcast: bool = False) -> list[dict]:
+    """Elements ``p`` and ``text`` of any namespace with a start: ``begin`` (clock), ``t`` (ms) or ``start``. In the
+    transcript of a podcast all ``p`` count, and one without ``begin`` starts at 0."""
     cues = []
     for element in ElementTree.fromstring(text).iter():
         names = {key.rpartition("}")[2]: value for key, value in element.attrib.items()}
-        if element.tag.rpartition("}")[2] in ("p", "text") and {"begin", "t", "start"} & names.keys():
-            at = clock_value(names["begin"]) if "begin" in names else float(names["t"]) / 1000 if "t" in names else float(names["start"])
+        tag = element.tag.rpartition("}")[2]
+        if (podcast and tag == "p") or (tag in ("p", "text") and {"begin", "t", "start"} & names.keys()):
+            at = clock_value(names.get("begin", "0")) if podcast else clock_value(names["begin"]) if "begin" in names else float(names["t"]) / 1000 if "t" in names else float(names["start"])
             said = [t.strip() for t in element.itertext() if t.strip()]
             cues.append({"seconds": at, "text": " ".join(said), "speaker": names.get("agent")})
     return cues
 
 
-def cues_of(extension: str | None, payload: str | None) -> list[dict] | None:
+def cues_of(extension: str | None, payload: str | None, podcast: bool = False) -> list[dict] | None:
     """Raw cues of a file; None if its format is unknown or it can't be read."""
     try:
         if payload is None:
@@ -72,17 +74,17 @@ def cues_of(extension: str | None, payload: str | None) -> list[dict] | None:
             return cues_of_vtt(payload.replace(",", ".") if extension == "srt" else payload)
         if extension == "json3":
             return cues_of_json3(payload)
-        return cues_of_xml(payload) if extension in XML_FORMATS else None
+        return cues_of_xml(payload, podcast) if extension in XML_FORMATS else None
     except (ValueError, AttributeError, TypeError, ElementTree.ParseError):
         return None
 
 
-def read_cues(extension: Column, payload: Column) -> Column:
+def read_cues(extension: Column, payload: Column, podcast: bool = False) -> Column:
     """Array of raw cues of each file."""
 
     @F.arrow_udf(CUES)
     def read(extensions: pa.Array, payloads: pa.Array) -> pa.Array:
-        return pa.array([cues_of(e, p) for e, p in zip(extensions.to_pylist(), payloads.to_pylist())], _CUES)
+        return pa.array([cues_of(e, p, podcast) for e, p in zip(extensions.to_pylist(), payloads.to_pylist())], _CUES)
 
     return read(F.lower(extension), payload)
 
@@ -90,7 +92,7 @@ def read_cues(extension: Column, payload: Column) -> Column:
 def parse_subtitles(files: DataFrame, podcast: bool = False) -> tuple[DataFrame, DataFrame]:
     """Cues (``doc_id``, ``seq``, ``seconds``, ``text``, ``speaker``) of ``files`` (``doc_id``, ``ext``,
     ``payload``), and the files that can't be read. Cues whose normal form is empty are left out."""
-    read = files.withColumn("cues", read_cues(F.col("ext"), F.col("payload")))
+    read = files.withColumn("cues", read_cues(F.col("ext"), F.col("payload"), podcast))
     rows = read.select("doc_id", F.posexplode("cues").alias("seq", "c")).select("doc_id", "seq", "c.seconds", "c.text", "c.speaker")
     form = spoken_text if podcast else caption_text
     return rows.withColumn("text", form(F.col("text"))).filter(F.col("text") != ""), read.filter(F.col("cues").isNull()).drop("cues")

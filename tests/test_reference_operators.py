@@ -256,7 +256,8 @@ def test_records(spark, make):
     assert one(spark, records.swapped_commands(F.lit("find finding; grep"))) == "fd finding; rg"
     assert one(spark, records.clean_list(F.array(*map(F.lit, [" a", "", "b", "a "])))) == ["a", "b"]
     findings = make([("x", "P1", 80), ("x", "P3", 90), ("y", "P3", 100), ("y", "P2", 79)], "axis string, severity string, score int")
-    assert rows_of(records.gated_findings(findings), "axis", "score") == [("x", 80), ("y", 100)]
+    assert rows_of(records.gated_findings(findings), "axis", "score") == [("x", 80), ("x", 90), ("y", 100)]
+    assert rows_of(records.gated_findings(findings.withColumn("unambiguous", F.col("score") > 95)), "axis", "score") == [("x", 80), ("y", 100)]
     assert rows_of(records.relaxed(findings, [F.col("score") > 85, F.col("axis") == "z"], [F.desc("score")], 1), "score") == [(100,)]
     answers = records.labelled_answers(make([("q1", "v"), ("q2", "w")], "id string, value string"), make([("q1", "First")], "id string, label string"))
     assert rows_of(answers, "id", "label") == [("q1", "First"), ("q2", "q2")]
