@@ -49,8 +49,13 @@ def literal_hits(texts: DataFrame, key: str, literal: str, most: int | None = HI
     return hits if in_all is None else hits.orderBy(key, "line_no").limit(in_all)
 
 
-def slice_of(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Source of each node: ``id`` and ``code``, the lines of its file from ``start_line`` to ``end_line``."""
-    inside = (F.col("path") == F.col("file_path")) & F.col("line_no").between(F.col("start_line"), F.col("end_line"))
-    joined = nodes.select("id", "file_path", "start_line", "end_line").join(lines, inside)
-    return joined.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]), "\n").alias("code"))
+def sources_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Source of each node: ``id`` and ``code``, the lines of its file's text (``path``, ``text``) from ``start_line`` to
+    ``end_line``; nodes that start behind the end of their file have none.
+
+    A file is one value, so its lines are cut out of it and never joined one by one.
+    """
+    joined = nodes.select("id", F.col("file_path").alias("path"), "start_line", "end_line").join(texts.select("path", "text"), "path")
+    size = F.col("end_line") - F.col("start_line") + 1
+    held = joined.withColumn("lines", body_lines(F.col("text"))).filter(F.size("lines") >= F.col("start_line"))
+    return held.select("id", F.array_join(F.slice("lines", F.col("start_line"), F.greatest(size, F.lit(0))), "\n").alias("code"))

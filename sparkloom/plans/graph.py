@@ -296,5 +296,16 @@ SELECT doc_id, line_no, line FROM x WHERE contains(line, '{LITERAL}') QUALIFY ro
     "line_numbering": """SELECT doc_id, array_to_string(list_transform(string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)),
  lambda x, i: CAST(i AS VARCHAR) || chr(9) || x), chr(10)) AS numbered FROM documents WHERE text IS NOT NULL""",
 }
+_FORMED = r"list_filter(string_split(lower(regexp_replace(regexp_replace(replace(name, ' ', '_'), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda t: t <> '')"
+SQL["symbol_search"] = f"""WITH {_NODES}, s AS (SELECT id, replace(name, ' ', '_') AS name, {_FORMED} AS words FROM nodes WHERE kind <> 'file'),
+ t AS (SELECT *, CASE WHEN name = 'red_plat' THEN 0 WHEN lower(name) = 'red_plat' THEN 1 WHEN contains(lower(name), 'red_plat') THEN 2
+  WHEN len(list_intersect(words, ['red', 'plat'])) > 0 OR levenshtein(lower(name), 'red_plat') <= 2 THEN 3 END AS tier FROM s)
+SELECT id, name, tier FROM t WHERE tier IS NOT NULL"""
+SQL["reach_scoped"] = (
+    _REACH.format(edges=_EDGES.replace(" WHERE l_quantity <= 10", "") + f", {_NODES}, s AS (SELECT e.* FROM e JOIN nodes ON e.dst = nodes.id WHERE kind <> 'file' AND starts_with(file_path, 'src/main/'))", t="s", depth=6, more="")
+    + " SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0"
+)
+SQL["member_paths"] = """SELECT 'n' || c_nationkey AS source, 'n' || c_nationkey AS target, 'c' || c_custkey AS leaf, 0 AS hops FROM customer
+UNION ALL SELECT 'o' || o_orderkey, 'n' || c_nationkey, 'c' || c_custkey, 1 FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 100 = 0"""
 SQL |= {f"whole_{f.__name__}": SQL[f.__name__].replace(" WHERE l_quantity <= 10", "") for f in WHOLE}
 SQL["whole_shortest_path_len"] = SQL["whole_shortest_path_len"].replace("hops < 4", "hops < 6")

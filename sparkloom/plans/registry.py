@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.session import ship
 
-MODULES = ("logs", "graph", "timed_text", "pages", "training_data")
+MODULES = ("logs", "graph", "parts", "timed_text", "pages", "training_data")
 
 
 def modules() -> list[ModuleType]:
