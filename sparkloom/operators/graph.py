@@ -4,7 +4,8 @@
 ``edges``: src, dst, kind, line, resolved_by, synthesized_by, confidence.
 
 Traversals are loops of joins over the frontier, one job per level and at most ``MAX_DEPTH`` of them;
-each level is checkpointed, so lineage stays short and a lost executor costs one level. A node is
+edges and every level are written to the shared folder, so lineage stays short, a lost executor costs one
+level, and the sizes of both sides are known to the joins. A node is
 visited once per key; the parent kept is the smallest, so results don't depend on partitioning.
 
 Defined cases: empty graphs give empty results; edges whose ends have no node are left out where
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.constants import CALLER_KINDS, CONTAINER_KINDS, DEFAULT_DEPTH, DEPENDENTS_SHOWN, EXPANSION_SHOWN, FORWARD_KINDS, IMPACT_DEPTH, KIND_ORDER, MAX_DEPTH, MEMBERS_SHOWN, NEIGHBORS, NON_SYMBOL_KINDS, PATHS, TYPE_KINDS
 from sparkloom.functions.paths import base_name, in_scope, lookup_form
-from sparkloom.session import cut
+from sparkloom.functions.skew import salted_join
+from sparkloom.session import cut, stored
 
 # --- nodes and edges ---------------------------------------------------------------------------
 
@@ -202,8 +204,9 @@ def neighborhood(nodes: DataFrame, edges: DataFrame, focal: DataFrame, scope: st
     bucket = F.when(F.col("kind").isin(*TYPE_KINDS), "types").when(F.col("kind").isin(*FORWARD_KINDS), F.col("kind"))
     used = edges.withColumn("bucket", bucket).filter(F.col("bucket").isNotNull())
     ids = focal.select(F.col("id").alias("focal")).distinct()
-    out = ids.join(used, F.col("focal") == F.col("src")).select("focal", F.lit("out").alias("direction"), "bucket", F.col("dst").alias("id"), "line")
-    back = ids.join(used, F.col("focal") == F.col("dst")).select("focal", F.lit("in").alias("direction"), "bucket", F.col("src").alias("id"), "line")
+    # hubs are spread over salts by whom they meet
+    out = salted_join(used.withColumn("focal", F.col("src")), ids, ["focal"], F.col("dst"), "inner").select("focal", F.lit("out").alias("direction"), "bucket", F.col("dst").alias("id"), "line")
+    back = salted_join(used.withColumn("focal", F.col("dst")), ids, ["focal"], F.col("src"), "inner").select("focal", F.lit("in").alias("direction"), "bucket", F.col("src").alias("id"), "line")
     named = nodes.filter(is_symbol(F.col("kind")) & in_scope(F.col("file_path"), scope)).select("id", "name")
     return top_per_group(out.unionByName(back).join(named, "id"), ["focal", "direction", "bucket"], ["line", "id"], most)
 
@@ -282,18 +285,19 @@ def expand(steps: DataFrame, seeds: DataFrame, depth: int | None = None, keys: t
     them are.
     """
     path = ["path"] if paths else []
-    visited = cut(seeds.select(*keys, "id", F.lit(0).alias("depth"), F.array("id").alias("path")).select(*keys, "id", "depth", *path).distinct())
-    frontier, hops = visited, steps.select("src", "dst").distinct()
+    visited = stored(seeds.select(*keys, "id", F.lit(0).alias("depth"), F.array("id").alias("path")).select(*keys, "id", "depth", *path).distinct())
+    frontier, hops = visited, stored(steps.select("src", "dst").distinct())
     for level in range(1, clamp_depth(depth) + 1):
         if absorbing is not None and level > 1:
             on = [c for c in (*keys, "id") if c in absorbing.columns]
             frontier = frontier.join(absorbing.select(*on).distinct(), on, "left_anti")
-        met = frontier.join(hops, F.col("id") == F.col("src"))
+        # a node that leads to a third of all is spread by whom it leads to
+        met = salted_join(hops, frontier.withColumnRenamed("id", "src"), ["src"], F.col("dst"), "inner")
         if paths:
             first = met.select(*keys, F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path")).groupBy(*keys, "id").agg(F.min("path").alias("path"))
         else:
             first = met.select(*keys, F.col("dst").alias("id")).distinct()
-        frontier = cut(first.withColumn("depth", F.lit(level)).join(visited.select(*keys, "id"), [*keys, "id"], "left_anti").select(*keys, "id", "depth", *path))
+        frontier = stored(first.withColumn("depth", F.lit(level)).join(visited.select(*keys, "id"), [*keys, "id"], "left_anti").select(*keys, "id", "depth", *path))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
@@ -304,7 +308,7 @@ def impact_radius(edges: DataFrame, roots: DataFrame, depth: int = IMPACT_DEPTH)
     """``root`` and each dependent ``id`` within ``depth`` hops, whatever leads to it except containment."""
     back = edges.filter(F.col("kind") != "contains").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     seeds = roots.select(F.col("id").alias("root"), "id")
-    return expand(back, seeds, depth, ("root",)).filter("depth > 0").select("root", "id", "depth")
+    return expand(back, seeds, depth, ("root",), paths=False).filter("depth > 0").select("root", "id", "depth")
 
 
 def impact_summary(edges: DataFrame, roots: DataFrame, nodes: DataFrame, depth: int = IMPACT_DEPTH) -> DataFrame:
@@ -316,12 +320,12 @@ def impact_summary(edges: DataFrame, roots: DataFrame, nodes: DataFrame, depth:
 def callers(edges: DataFrame, roots: DataFrame, depth: int = 1) -> DataFrame:
     """Who calls, references, imports or instantiates the roots within ``depth`` hops."""
     back = edges.filter(F.col("kind").isin(*CALLER_KINDS)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return expand(back, roots, depth).filter("depth > 0")
+    return expand(back, roots, depth, paths=False).filter("depth > 0")
 
 
 def callees(edges: DataFrame, roots: DataFrame, depth: int = 1) -> DataFrame:
     """What the roots call, reference, import or instantiate within ``depth`` hops."""
-    return expand(edges.filter(F.col("kind").isin(*CALLER_KINDS)), roots, depth).filter("depth > 0")
+    return expand(edges.filter(F.col("kind").isin(*CALLER_KINDS)), roots, depth, paths=False).filter("depth > 0")
 
 
 def with_members(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:

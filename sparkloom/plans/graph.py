@@ -147,11 +147,11 @@ def impact_radius(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reach_forward(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:
-    return graph.expand(edges(spark, d), _sources(spark, d)).select("id", "depth")
+    return graph.expand(edges(spark, d), _sources(spark, d), paths=False).select("id", "depth")
 
 
 def reach_backward(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:
-    return graph.expand(graph.backward_edges(edges(spark, d)), _sources(spark, d)).select("id", "depth")
+    return graph.expand(graph.backward_edges(edges(spark, d)), _sources(spark, d), paths=False).select("id", "depth")
 
 
 def reach_scoped(spark: SparkSession, d: str) -> DataFrame:
@@ -167,7 +167,7 @@ def shortest_path_len(spark: SparkSession, d: str, edges: Edges = small_edges, d
 
 def _stopped(spark: SparkSession, d: str, edges: Edges) -> tuple[DataFrame, DataFrame]:
     members = table(spark, d, "part").filter(F.col("p_brand") == BRAND).select(F.col("p_partkey").alias("id"))
-    return graph.expand(edges(spark, d), _sources(spark, d), 6, (), members), members
+    return graph.expand(edges(spark, d), _sources(spark, d), 6, (), members, paths=False), members
 
 
 def paths_with_barrier(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:

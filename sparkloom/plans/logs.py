@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -95,8 +96,33 @@ def conversation_last_assistant(spark: SparkSession, d: str) -> DataFrame:
     return logs.last_assistant_texts(_messages(spark, d))
 
 
+#: Measures of the sections of the report, and what names their rows.
+REPORT_MEASURES = {
+    "overview": ("''", ("messages", "sessions", "input", "output", "cache_read", "cache_write", "reasoning", "total", "cost", "mean_tokens", "mean_cost")),
+    "models": ("model", ("tokens", "cost", "messages")),
+    "cache": ("''", ("cache_read", "cache_write", "input", "output", "hit_rate")),
+    "tools": ("name", ("calls", "errors", "rate")),
+    "files": ("extension", ("reads", "ranged", "full", "edits", "ranged_percent")),
+    "bash": ("head", ("n",)),
+    "sessions": ("path", ("cost", "tokens", "calls")),
+}
+
+
 def log_report(spark: SparkSession, d: str) -> DataFrame:
-    return logs.report_json(logs.report(table(spark, d, "session_lines")))
+    """All sections of the report as one table: ``section``, ``item``, ``measure`` and ``value``."""
+    sections = logs.chosen_sections(logs.report(table(spark, d, "session_lines")))
+
+    def melted(name: str, df: DataFrame) -> DataFrame:
+        item, measures = REPORT_MEASURES[name]
+        values = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures])
+        return df.select(F.lit(name).alias("section"), F.expr(item).alias("item"), F.explode(values).alias("v")).select("section", "item", "v.measure", "v.value")
+
+    return functools.reduce(DataFrame.unionByName, [melted(name, df) for name, df in sections])
+
+
+def log_report_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The report as lines to read."""
+    return logs.report_text(logs.report(table(spark, d, "session_lines")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -104,7 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         session_headers, since_until_filter, period_bounds, usage_totals, model_filter_conditional, cost_by_model, cache_hit_rate, session_totals,
         top_sessions, tool_call_leaderboard, tool_error_counts, read_mode_by_ext, path_suffix_counts, command_head_counts, message_role_counts,
-        text_block_join, conversation_last_assistant, log_report,
+        text_block_join, conversation_last_assistant, log_report, log_report_lines,
     )
 }
 
@@ -192,3 +218,23 @@ SELECT name, calls, coalesce(errors, 0) AS errors, round(100.0 * coalesce(errors
     "text_block_join": _BASE + f"SELECT path, line_no, text FROM ({_TEXTS}) WHERE text IS NOT NULL",
     "conversation_last_assistant": _BASE + f"SELECT path, max(line_no) AS line_no, arg_max(text, line_no) AS text FROM ({_TEXTS}) WHERE role = 'assistant' AND text IS NOT NULL GROUP BY path",
 }
+
+
+def _melted(section: str, query: str) -> str:
+    item, measures = REPORT_MEASURES[section]
+    names, values = ", ".join(f"'{m}'" for m in measures), ", ".join(f'CAST("{m}" AS DOUBLE)' for m in measures)
+    return f"SELECT '{section}' AS section, {item} AS item, unnest([{names}]) AS measure, unnest([{values}]) AS value FROM ({query})"
+
+
+_FILES_OF_LINES = "(SELECT count(DISTINCT path) FROM session_lines)"
+SQL["log_report"] = "\nUNION ALL ".join(
+    [
+        _melted("overview", f"SELECT * REPLACE (n AS sessions), floor(total / n) AS mean_tokens, round(cost / n, 3) AS mean_cost FROM ({SQL['usage_totals']}), (SELECT {_FILES_OF_LINES} AS n)"),
+        _melted("models", f"SELECT * FROM ({SQL['cost_by_model']}) ORDER BY cost DESC, model LIMIT 12"),
+        _melted("cache", SQL["cache_hit_rate"]),
+        _melted("tools", SQL["tool_call_leaderboard"]),
+        _melted("files", f"SELECT * FROM ({SQL['read_mode_by_ext']}) ORDER BY reads DESC, extension LIMIT 12"),
+        _melted("bash", f"SELECT * FROM ({SQL['command_head_counts']}) ORDER BY n DESC, head LIMIT 12"),
+        _melted("sessions", SQL["top_sessions"]),
+    ]
+)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import clock, scores, text
@@ -61,19 +61,26 @@ def front_matter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def subtitle_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Every cue written as a file of its own, in four formats by turns, and read back."""
-    cues = timed_text.distinct_cues(table(spark, d, "cues"))
+    """Every ten minutes of a recording written as one file, in four formats by turns, and read back: all their cues."""
+    cues = timed_text.distinct_cues(table(spark, d, "cues")).filter("seconds < 360000 and doc_id is not null")
     plain = F.regexp_replace(F.regexp_replace("text", r"<[^>]*>|&[^;]*;|[<>&\r\n,]", " "), r"-->", " ")
-    hours = F.format_string("%02d:%02d:%06.3f", F.floor(F.col("seconds") / 3600), F.floor(F.col("seconds") % 3600 / 60), F.col("seconds") % 60)
-    vtt = F.concat(F.lit("WEBVTT\n\n"), hours, F.lit(" --> 99:00:00.000\n"), plain, F.lit("\n"))
-    json3 = F.to_json(F.struct(F.array(F.struct(F.round(F.col("seconds") * 1000).alias("tStartMs"), F.array(F.struct(plain.alias("utf8"))).alias("segs"))).alias("events")))
-    ttml = F.concat(F.lit('<tt xmlns="http://www.w3.org/ns/ttml"><body><p begin="'), hours, F.lit('">'), plain, F.lit("</p></body></tt>"))
-    turn = F.col("seq") % 4
+    stamp = F.format_string("%02d:%02d:%06.3f", F.floor(F.col("seconds") / 3600), F.floor(F.col("seconds") % 3600 / 60), F.col("seconds") % 60)
+    placed = cues.select("doc_id", F.floor(F.col("seconds") / 600).alias("block"), F.struct("seconds", "seq", stamp.alias("stamp"), plain.alias("text")).alias("cue"))
+    files = placed.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list("cue")).alias("cues"))  # the cues of ten minutes at most
+
+    def joined(line: Callable[[Column], Column]) -> Column:
+        return F.array_join(F.transform("cues", line), "")
+
+    vtt = F.concat(F.lit("WEBVTT\n\n"), joined(lambda c: F.concat(c["stamp"], F.lit(" --> 99:00:00.000\n"), c["text"], F.lit("\n\n"))))
+    srt = F.array_join(F.transform("cues", lambda c, i: F.concat((i + 1).cast("string"), F.lit("\n"), F.replace(c["stamp"], F.lit("."), F.lit(",")), F.lit(" --> 99:00:00,000\n"), c["text"], F.lit("\n\n"))), "")
+    events = F.transform("cues", lambda c: F.struct(F.round(c["seconds"] * 1000).cast("bigint").alias("tStartMs"), F.array(F.struct(c["text"].alias("utf8"))).alias("segs")))
+    ttml = F.concat(F.lit('<tt xmlns="http://www.w3.org/ns/ttml"><body><div>'), joined(lambda c: F.concat(F.lit('<p begin="'), c["stamp"], F.lit('">'), c["text"], F.lit("</p>"))), F.lit("</div></body></tt>"))
+    turn = (F.col("doc_id") + F.col("block")) % 4
     ext = F.when(turn == 0, "vtt").when(turn == 1, "srt").when(turn == 2, "json3").otherwise("ttml")
-    payload = F.when(turn < 2, vtt).when(turn == 2, json3).otherwise(ttml)
-    files = cues.select(F.struct("doc_id", "seq").alias("doc_id"), ext.alias("ext"), payload.alias("payload"))
-    read, _ = subtitles.parse_subtitles(files)
-    return read.select("doc_id.doc_id", "doc_id.seq", F.round("seconds", 3).alias("seconds"), "text")
+    payload = F.when(turn == 0, vtt).when(turn == 1, srt).when(turn == 2, F.to_json(F.struct(events.alias("events")))).otherwise(ttml)
+    read, rejected = subtitles.parse_subtitles(files.select("doc_id", ext.alias("ext"), payload.alias("payload")))
+    found = read.select("doc_id", F.round("seconds", 3).alias("seconds"), "text", F.lit(True).alias("read"))
+    return found.unionByName(rejected.select("doc_id", F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("read")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -102,3 +109,10 @@ SELECT space, ordinal, CAST(score AS INT) AS score FROM y QUALIFY row_number() O
 FROM (SELECT DISTINCT doc_id, seq, CAST(trunc(seconds) AS BIGINT) AS s, text, speaker FROM cues WHERE text <> '')""",
     "front_matter": "SELECT doc_id, array_to_string(['---', 'source: ' || CAST(to_json(coalesce(source, '')) AS VARCHAR), 'lang: ' || CAST(to_json(coalesce(lang, '')) AS VARCHAR), 'space: ' || CAST(to_json(coalesce(space, '')) AS VARCHAR), '---'], chr(10)) AS head FROM documents",
 }
+
+# Lines of digits, of notes and of the mark of the format are no text of a cue in the formats of lines.
+SQL["subtitle_parse"] = rf"""WITH {_CUES}, p AS (SELECT doc_id, seconds, floor(seconds / 600) AS block,
+  regexp_replace(regexp_replace(text, '<[^>]*>|&[^;]*;|[<>&\r\n,]', ' ', 'g'), '-->', ' ', 'g') AS t FROM cue WHERE seconds < 360000 AND doc_id IS NOT NULL),
+ q AS (SELECT *, regexp_replace(trim(regexp_replace(t, '{_S}+', ' ', 'g')), '\s+([,.;:!?])', '\1', 'g') AS text FROM p)
+SELECT doc_id, round(seconds, 3) AS seconds, text, true AS read FROM q WHERE text <> ''
+ AND NOT ((doc_id + block) % 4 < 2 AND (regexp_full_match(text, '[0-9]+') OR text = 'WEBVTT' OR starts_with(text, 'NOTE') OR starts_with(text, 'STYLE') OR starts_with(text, 'REGION')))"""

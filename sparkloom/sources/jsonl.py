@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 def read_lines(spark: SparkSession, directory: str, glob: str = "*.jsonl") -> DataFrame:
     """``path``, ``line_no`` (from 1) and ``line`` of all matching files below a directory.
 
-    Files are split like any text source; lines are numbered per file by where their split starts and
-    their order in it. Bytes that are no UTF-8 are dropped. Empty files have no rows.
+    Files are split like any text source; lines are numbered within their split, and every split begins
+    where the ones before it in its file end, so no file is held by one task. Bytes that are no UTF-8 are
+    dropped. Empty files have no rows.
     """
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(directory)
     placed = raw.select(
@@ -19,8 +20,10 @@ def read_lines(spark: SparkSession, directory: str, glob: str = "*.jsonl") -> Da
         F.monotonically_increasing_id().alias("row"),
         F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("line"),
     )
-    order = Window.partitionBy("path").orderBy("block", "row")
-    return placed.select("path", F.row_number().over(order).cast("bigint").alias("line_no"), "line")
+    numbered = placed.withColumn("own", F.row_number().over(Window.partitionBy("path", "block").orderBy("row")))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = placed.groupBy("path", "block").agg(F.count("*").alias("n")).select("path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return numbered.join(splits, ["path", "block"]).select("path", (F.col("before") + F.col("own")).cast("bigint").alias("line_no"), "line")
 
 
 def read_pages(spark: SparkSession, directory: str, glob: str = "*.md", skip: tuple[str, ...] = ("index.md", "log.md")) -> DataFrame:

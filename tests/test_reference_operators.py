@@ -57,7 +57,7 @@ def test_line_functions(spark, make):
     hits = lines.literal_hits(make([(1, "x y\ny\nx"), (2, None)], "doc_id int, text string"), "doc_id", "x", 1)
     assert rows_of(hits) == [(1, 1, "x y")]
     nodes = make([("n", "f", 2, 3)], "id string, file_path string, start_line int, end_line int")
-    assert rows_of(lines.slice_of(make([("f", i, f"l{i}") for i in range(1, 5)], "path string, line_no int, text string"), nodes)) == [("n", "l2\nl3")]
+    assert rows_of(lines.sources_of(make([("f", "l1\nl2\nl3\nl4\n")], "path string, text string"), nodes)) == [("n", "l2\nl3")]
 
 
 def test_looking_back_over_blocks(make):
