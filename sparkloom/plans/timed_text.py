@@ -116,3 +116,28 @@ SQL["subtitle_parse"] = rf"""WITH {_CUES}, p AS (SELECT doc_id, seconds, floor(s
  q AS (SELECT *, regexp_replace(trim(regexp_replace(t, '{_S}+', ' ', 'g')), '\s+([,.;:!?])', '\1', 'g') AS text FROM p)
 SELECT doc_id, round(seconds, 3) AS seconds, text, true AS read FROM q WHERE text <> ''
  AND NOT ((doc_id + block) % 4 < 2 AND (regexp_full_match(text, '[0-9]+') OR text = 'WEBVTT' OR starts_with(text, 'NOTE') OR starts_with(text, 'STYLE') OR starts_with(text, 'REGION')))"""
+
+
+
+def _words(text: str) -> str:
+    return f"string_split(trim(regexp_replace({text}, '{_S}+', ' ', 'g')), ' ')"
+
+
+def _plain(text: str) -> str:
+    return f"list_transform({_words(text)}, lambda w: regexp_replace(lower(w), '[^\\pL\\pN_'']+', '', 'g'))"
+
+
+# The fold, one cue of every recording a step: a cue joins the one being built, or opens the next.
+SQL["gap_merge"] = rf"""WITH RECURSIVE {_CUES},
+ o AS (SELECT doc_id, seconds, seq, text, row_number() OVER (PARTITION BY doc_id ORDER BY seconds, seq) AS i FROM
+  (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY seconds, seq) AS before FROM cue) WHERE text IS DISTINCT FROM before),
+ w AS (SELECT *, {_words("text")} AS own, {_plain("text")} AS plain FROM o),
+ f AS (SELECT doc_id, i, i AS first, seconds, seq, text FROM o WHERE i = 1 UNION ALL
+  SELECT doc_id, i, CASE WHEN joins THEN first ELSE i END, CASE WHEN joins THEN seconds ELSE more_seconds END, CASE WHEN joins THEN seq ELSE more_seq END,
+   CASE WHEN joins THEN regexp_replace(trim(regexp_replace(CASE WHEN contains(text, more) THEN text ELSE text || ' ' || array_to_string(own[coalesce(list_max(
+     list_filter(range(1, least(len(built), len(plain)) + 1), lambda n: built[len(built) - n + 1:len(built)] = plain[1:n])), 0) + 1:], ' ') END, '{_S}+', ' ', 'g')), '\s+([,.;:!?])', '\1', 'g') ELSE more END
+  FROM (SELECT f.doc_id, w.i, f.first, f.seconds, f.seq, f.text, w.seconds AS more_seconds, w.seq AS more_seq, w.text AS more, w.own, w.plain, {_plain("f.text")} AS built,
+    w.seconds - f.seconds <= 3.2 AND right(f.text, 1) NOT IN ('.', '!', '?') AND len({_words("f.text")}) < 80 AS joins
+   FROM f JOIN w ON w.doc_id = f.doc_id AND w.i = f.i + 1)),
+ m AS (SELECT doc_id, first, any_value(seq) AS seq, CAST(trunc(any_value(seconds)) AS BIGINT) AS s, arg_max(text, i) AS text FROM f GROUP BY doc_id, first)
+SELECT doc_id, seq, {_CLOCK} AS timestamp, text FROM m"""

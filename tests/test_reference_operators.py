@@ -311,3 +311,73 @@ def test_queries_have_sql_of_the_same_name():
 
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and len(queries) > 70
+
+
+@pytest.mark.parametrize("piece", [1, 3, 50])
+def test_merging_does_not_depend_on_pieces(make, piece):
+    import random
+
+    rng = random.Random(piece)
+    cues = [(rng.choice([1, 1, 1, 2, None]), i, i * rng.choice([0.5, 1.0]), rng.choice(["so we go", "we go on", "on now.", "and then", "x"])) for i in range(120)]
+    expected = []
+    for doc in (1, 2, None):
+        own = sorted(({"seconds": s, "seq": q, "text": t} for d, q, s, t in cues if d == doc), key=lambda c: (c["seconds"], c["seq"]))
+        expected += [(doc, c["seq"], c["seconds"], c["text"]) for c in timed_text.merged(own)]
+    table = make(cues, "doc_id int, seq int, seconds double, text string")
+    assert rows_of(timed_text.merge_fragments(table, piece), "doc_id", "seq", "seconds", "text") == sorted(expected, key=repr)
+    assert timed_text.merge_fragments(table.limit(0)).collect() == []
+
+
+def test_empty_arguments_and_repeated_keys_of_logs(make):
+    block = lambda **fields: {"type": "toolCall", "name": "bash"} | fields
+    calls = [block(arguments=nothing, input={"command": "ls"}) for nothing in ([], {}, "", 0, False, None, 0.0)] + [block(arguments=[None], input={"command": "ls"}), block(arguments="x", input={"command": "ls"})]
+    rows = [("p", 1, entry(content=calls)), ("p", 2, '{"type": "session", "type": "message", "message": {"role": "x", "role": "user"}}')]
+    parsed = logs.entries(make([*rows, *rows], "path string, line_no bigint, line string"))
+    found = logs.messages(parsed)
+    assert [r.args is not None for r in logs.tool_calls(found).collect()] == [True] * 7 + [False] * 2
+    assert rows_of(found, "line_no", "role") == [(1, None), (2, "user")]
+
+
+def test_report_as_text(make):
+    lines_of = make([("s/a.jsonl", i, line) for i, line in enumerate(LOG)], "path string, line_no bigint, line string")
+    report = logs.report(lines_of)
+    text = rows_of(logs.report_text(report, ("overview", "tools")), "section", "line_no", "line")
+    assert ("overview", 4, "per session 15 tokens, $0.500") in text and ("tools", 1, "read 2 calls, 1 errors, 50.0%") in text
+    assert {r[0] for r in text} == {"overview", "tools"}
+    assert [name for name, _ in logs.chosen_sections(report, ("tools", "overview", "none"))] == ["overview", "tools"]
+
+
+def test_templates_take_out_only_the_line_ends_of_empty_values(make):
+    rows = make([("x\n\n\n\ny", None), ("", "b"), (None, None)], "a string, b string")
+    filled = text.filled_template(F.lit("{{a}}\n\n{{b}}\n\n{{b}}"), {"a": F.col("a"), "b": F.col("b")})
+    assert [r.t for r in rows.select(filled.alias("t")).collect()] == ["x\n\n\n\ny\n\n{{b}}", "b\n\n{{b}}", "{{b}}"]
+
+
+def test_podcast_transcripts_start_at_zero(make):
+    payload = '<tt xmlns="http://www.w3.org/ns/ttml"><body><p>first</p><p begin="0:05">second</p></body></tt>'
+    files = make([(1, "ttml", payload)], "doc_id int, ext string, payload string")
+    assert [(r.seconds, r.text) for r in subtitles.parse_subtitles(files, podcast=True)[0].collect()] == [(0.0, "first"), (5.0, "second")]
+    assert [r.text for r in subtitles.parse_subtitles(files)[0].collect()] == ["second"]
+
+
+def test_queries_and_episodes(make):
+    typed = {"  @a/b \t": "a/b", "@@x": "@x", "x@": "x@", "": "", None: None}
+    assert {r.v: r.q for r in texts(make, list(typed)).select("v", paths.query_form(F.col("v")).alias("q")).collect()} == typed
+    sources = {"123": "123", "https://p.example/id1?i=45&l=x": "45", "https://p.example/id1?l=x&i=6": "6", "https://p.example/id1": None, "https://p.example/?i=": None, None: None}
+    assert {r.v: r.e for r in texts(make, list(sources)).select("v", paths.episode_id(F.col("v")).alias("e")).collect()} == sources
+
+
+def test_shown_with_counts(make):
+    nodes = make([("c", "class", "C", "f", 1)] + [(f"m{i:02}", "method", f"m{i}", "f", 60 - i) for i in range(60)], "id string, kind string, name string, file_path string, start_line int")
+    edges = make([("c", f"m{i:02}", "contains") for i in range(60)], "src string, dst string, kind string")
+    shown = rows_of(graph.members_shown(nodes, edges), "rank", "id", "of")
+    assert shown[0] == (1, "m59", 60) and len(shown) == 50 and len(graph.file_symbols(nodes).collect()) == 50
+    reached = make([(f"n{i}", i % 3 + 1) for i in range(90)], "id string, depth int")
+    by_depth = graph.shown_by_depth(reached).collect()
+    assert len(by_depth) == 60 and {(r.depth, r.of) for r in by_depth} == {(1, 30), (2, 30)}
+
+
+def test_hub_of_a_third_of_all_edges(make):
+    edges = make([("hub", f"n{i}") for i in range(300)] + [(f"n{i}", f"m{i}") for i in range(300)], "src string, dst string")
+    reached = graph.expand(edges, make([("hub",)], "id string"), 3, paths=False)
+    assert rows_of(reached.groupBy("depth").count()) == [(0, 1), (1, 300), (2, 300)]
