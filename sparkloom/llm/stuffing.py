@@ -27,6 +27,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -215,11 +216,12 @@ def read_page(text: str) -> tuple[list[str], list[tuple[str, int, int, int]]]:
     plain = text.isascii()
     words_of, sentences_of = (_PLAIN_TOKEN.findall, _PLAIN_END.split) if plain else (_TOKEN.findall, _SENTENCE_END.split)
     coded = _CODE_MARK.search(text) is not None
+    any_items = ITEM_END in text
     for n, line in enumerate(text.split("\n")):
         bare = line.strip()
         if not bare:
             continue
-        has_items, start, first, kind = ITEM_END in line, len(tokens), bare[0], ""
+        has_items, start, first, kind = any_items and ITEM_END in line, len(tokens), bare[0], ""
         if first == "`" and bare.startswith("```"):
             fenced = not fenced
             kind = "head"
@@ -293,17 +295,23 @@ def measure(text: str | None) -> tuple[float, float, float, float, float]:
     if not segments:
         return 0.0, 0.0, 0.0, 0.0, 0.0
     counts = Counter(tokens)
-    number = dict(zip(counts, range(len(counts))))
-    symbols = [number[t] for t in tokens]
-    again = [n > 1 for n in counts.values()]
-    automaton = SuffixAutomaton([s if again[s] else None for s in symbols])
-    own = np.array(symbols)
-    size_of, weight_of = zip(*map(_shape, number))
-    sizes = np.array(size_of)[own]
-    mass_to = [0.0, *np.array(weight_of)[own].cumsum().tolist()]
+    number = {t: k for k, t in enumerate(t for t, n in counts.items() if n > 1)}
+    symbols = list(map(number.get, tokens))
+    automaton = SuffixAutomaton(symbols)
+    plain = text.isascii()
+    if plain:
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        mass_to: list[float] = []
+    else:
+        shape = {t: _shape(t) for t in counts}
+        sizes = np.array([shape[t][0] for t in tokens])
+        mass_to = [0.0, *accumulate([shape[t][1] for t in tokens])]
     size_to = np.concatenate(([0], sizes.cumsum()))
     repeated_to = [0, *np.where(covered_places(automaton.repeats(), size_to), sizes, 0).cumsum().tolist()]
     size_to = size_to.tolist()
+    returns = [False] * len(number)  # characters of a script without spaces return in pairs, words hardly do
+    if not plain:
+        returns = [_WIDE.match(t) is not None for t in number]
 
     following = automaton.following
     root = following[0]
@@ -318,9 +326,9 @@ def measure(text: str | None) -> tuple[float, float, float, float, float]:
             pairs, b, met = end - start - 1, symbols[start], set()
             for s in symbols[start + 1 : end]:
                 a, b = b, s
-                if again[a] and again[b]:
+                if a is not None and b is not None:
                     free += a == b or a in following[root[b]] or (a, b) in met
-                    if weight_of[a] == 1:  # characters of a script without spaces return in pairs, words hardly do
+                    if not returns[a]:
                         met.add((a, b))
             all_pairs += pairs
             all_free += free
@@ -340,7 +348,12 @@ def measure(text: str | None) -> tuple[float, float, float, float, float]:
         if kind == "head":
             continue
         tag = kind == "item" and tokens[start] == TAG
-        mass = len(_WORD.findall("".join(tokens[start:end]))) if tag else mass_to[end] - mass_to[start]
+        if tag:
+            mass = float(len(_WORD.findall("".join(tokens[start:end]))))
+        elif plain:
+            mass = float(end - start - 2 * (kind == "item"))  # without the marks of an item
+        else:
+            mass = mass_to[end] - mass_to[start]
         if is_clause or (kind == "item" and items_of[line] <= 2 * clauses_of.get(line, 0)):
             clauses += mass
         elif kind == "code" or (mostly_code and kind != "item"):
