@@ -295,7 +295,8 @@ def measure(text: str | None) -> tuple[float, float, float, float, float]:
     if not segments:
         return 0.0, 0.0, 0.0, 0.0, 0.0
     counts = Counter(tokens)
-    number = {t: k for k, t in enumerate(t for t, n in counts.items() if n > 1)}
+    # what occurs once, and the ends of segments, only cut the sequence
+    number = {t: k for k, t in enumerate(t for t, n in counts.items() if n > 1 and t != "\n")}
     symbols = list(map(number.get, tokens))
     automaton = SuffixAutomaton(symbols)
     plain = text.isascii()
@@ -314,7 +315,7 @@ def measure(text: str | None) -> tuple[float, float, float, float, float]:
         returns = [_WIDE.match(t) is not None for t in number]
 
     following = automaton.following
-    root = following[0]
+    after = [following[following[0][k]] for k in range(len(number))]
     orders: list[tuple[int, int]] = []
     all_pairs = all_free = code_lines = 0
     lines: set[int] = set()
@@ -323,13 +324,18 @@ def measure(text: str | None) -> tuple[float, float, float, float, float]:
         lines.add(line)
         pairs = free = 0
         if kind == "running" or kind == "short":
-            pairs, b, met = end - start - 1, symbols[start], set()
-            for s in symbols[start + 1 : end]:
-                a, b = b, s
-                if a is not None and b is not None:
-                    free += a == b or a in following[root[b]] or (a, b) in met
-                    if not returns[a]:
-                        met.add((a, b))
+            own = symbols[start:end]
+            pairs = end - start - 1
+            known = [k for k in own if k is not None]
+            if len(set(known)) == len(known):  # no word twice
+                free = sum(1 for a, b in zip(own, own[1:]) if b is not None and a in after[b])
+            else:
+                met = set()
+                for a, b in zip(own, own[1:]):
+                    if a is not None and b is not None:
+                        free += a == b or a in after[b] or (a, b) in met
+                        if not returns[a]:
+                            met.add((a, b))
             all_pairs += pairs
             all_free += free
         elif kind == "code":
