@@ -83,6 +83,25 @@ def ancestors(edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     return found
 
 
+def nearest_holders(nodes: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """The nearest containers above every node: ``id``, ``ancestor`` and ``distance``. A node goes no further up
+    than the first level with one."""
+    holders = stored(nodes.filter(is_container(F.col("kind"))).select(F.col("id").alias("ancestor")).distinct())
+    up = stored(children(edges).select(F.col("child").alias("src"), F.col("parent").alias("dst")).distinct())
+    level = up.select(F.col("src").alias("id"), F.col("dst").alias("ancestor"), F.lit(1).alias("distance"))
+    found = level.limit(0)
+    for distance in range(1, depth + 1):
+        level = stored(level)
+        held = level.join(holders, "ancestor", "left_semi").select("id", "ancestor", "distance")
+        found = found.unionByName(held)
+        rest = level.join(held.select("id").distinct(), "id", "left_anti")
+        if rest.isEmpty():
+            break
+        further = rest.join(up, F.col("ancestor") == F.col("src")).filter(F.col("id") != F.col("dst"))
+        level = further.select("id", F.col("dst").alias("ancestor"), F.lit(distance + 1).alias("distance")).distinct()
+    return found
+
+
 def display_names(nodes: DataFrame, chain: DataFrame) -> DataFrame:
     """``id`` and ``display``: members are led by the nearest container's name."""
     holders = nodes.filter(is_container(F.col("kind"))).select(F.col("id").alias("ancestor"), F.col("name").alias("holder"))

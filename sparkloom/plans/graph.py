@@ -124,7 +124,8 @@ def qualified_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ancestor_display_name(spark: SparkSession, d: str) -> DataFrame:
-    return graph.display_names(place_nodes(spark, d), graph.ancestors(place_edges(spark, d)))
+    nodes = place_nodes(spark, d)
+    return graph.display_names(nodes, graph.nearest_holders(nodes, place_edges(spark, d)))
 
 
 def container_members(spark: SparkSession, d: str) -> DataFrame:

@@ -381,3 +381,12 @@ def test_hub_of_a_third_of_all_edges(make):
     edges = make([("hub", f"n{i}") for i in range(300)] + [(f"n{i}", f"m{i}") for i in range(300)], "src string, dst string")
     reached = graph.expand(edges, make([("hub",)], "id string"), 3, paths=False)
     assert rows_of(reached.groupBy("depth").count()) == [(0, 1), (1, 300), (2, 300)]
+
+
+def test_nearest_holders(make):
+    nodes = make([("p", "package", "p"), ("c", "class", "C"), ("m", "method", "m"), ("l", "variable", "l"), ("x", "function", "x")], "id string, kind string, name string")
+    edges = make([("p", "c", "contains"), ("c", "m", "contains"), ("m", "l", "contains"), ("p", "x", "contains"), ("x", "p", "contains")], "src string, dst string, kind string")
+    holders = graph.nearest_holders(nodes, edges)
+    assert rows_of(holders, "id", "ancestor", "distance") == [("l", "c", 2), ("m", "c", 1)]
+    full, near = (dict(rows_of(graph.display_names(nodes, chain))) for chain in (graph.ancestors(edges), holders))
+    assert near == full and near["l"] == "C.l" and near["x"] == "x"
