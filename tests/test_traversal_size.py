@@ -37,3 +37,8 @@ def not_gathered(written):
 def test_forward_frontier_is_not_broadcast(spark, written):
     assert graph.expand(chain(spark), spark.range(MANY), 1, paths=False).count() == MANY + 1
     assert len(written) >= 3 and not_gathered(written)
+
+
+def test_backward_frontier_is_not_broadcast(spark, written):
+    reached = graph.expand(graph.backward_edges(chain(spark)), spark.range(10, MANY + 10), 1, paths=False)
+    assert reached.count() == MANY + 1 and not_gathered(written)
