@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
+from conftest import rows_of
+from test_graph_queries import hops
 
 from sparkloom.operators import graph
+from sparkloom.plans import parts
 
 MANY = 120_000
 
@@ -42,3 +46,12 @@ def test_forward_frontier_is_not_broadcast(spark, written):
 def test_backward_frontier_is_not_broadcast(spark, written):
     reached = graph.expand(graph.backward_edges(chain(spark)), spark.range(10, MANY + 10), 1, paths=False)
     assert reached.count() == MANY + 1 and not_gathered(written)
+
+
+def test_expansion_by_depth_of_many_sources(spark, make, written, tmp_path):
+    spark.range(MANY * 100).filter("id % 100 = 0").selectExpr("id p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    line = "id div 2 l_orderkey, cast(id % 2 as int) l_linenumber, (id div 2) * 100 + id % 2 l_partkey, 1L l_suppkey, 1D l_quantity, 1D l_extendedprice, 0D l_discount, 0D l_tax, 'A' l_returnflag, 'O' l_linestatus, 'x' l_shipdate"
+    spark.range(MANY * 2).selectExpr(*line.split(", ")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    shown = rows_of(parts.expansion_by_depth(spark, str(tmp_path)))
+    assert sorted(shown, key=lambda r: r[2]) == [(1, i * 100 + 1, i + 1, MANY) for i in range(60)]
+    assert not any(re.search(r"BroadcastHashJoin \[src#", plan) for plan, _ in written[:3])
