@@ -55,3 +55,15 @@ def test_expansion_by_depth_of_many_sources(spark, make, written, tmp_path):
     shown = rows_of(parts.expansion_by_depth(spark, str(tmp_path)))
     assert sorted(shown, key=lambda r: r[2]) == [(1, i * 100 + 1, i + 1, MANY) for i in range(60)]
     assert not any(re.search(r"BroadcastHashJoin \[src#", plan) for plan, _ in written[:3])
+
+
+def test_barrier_leaves_many_out(spark, make, written):
+    stops = make([(5,), (MANY,)], "id bigint")
+    reached = graph.expand(chain(spark), spark.range(MANY), 2, absorbing=stops, paths=False)
+    assert reached.count() == MANY + 1 and not any(re.search(r"BroadcastHashJoin \[src#", plan) for plan, _ in written[:3])
+
+
+def test_keyed_frontier_is_not_broadcast(spark, written):
+    roots = spark.range(MANY).selectExpr("id")
+    assert graph.impact_radius(chain(spark), roots, 1).count() == MANY - 1
+    assert len(written) >= 3 and not_gathered(written)
