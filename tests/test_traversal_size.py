@@ -67,3 +67,13 @@ def test_keyed_frontier_is_not_broadcast(spark, written):
     roots = spark.range(MANY).selectExpr("id")
     assert graph.impact_radius(chain(spark), roots, 1).count() == MANY - 1
     assert len(written) >= 3 and not_gathered(written)
+
+
+def test_keys_of_a_node_go_together(spark, make, written):
+    rng = random.Random(7)
+    pairs = {(rng.randrange(600), rng.randrange(600)) for _ in range(1500)}
+    edges, seeds = make(sorted(pairs), "src int, dst int"), make([(i, i) for i in range(300)], "source int, id int")
+    found = rows_of(graph.expand(edges, seeds, 4, ("source",), paths=False))
+    assert found == sorted(((s, k, n) for s in range(300) for k, n in hops(pairs, [s], 4).items()), key=repr)
+    most = max(table.count() for _, table in written)
+    assert most <= max(1500, 2 * 600) < len(found) / 5
