@@ -190,7 +190,7 @@ def member_paths(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = place_nodes(spark, d), place_edges(spark, d).unionByName(order_edges(spark, d))
     nations = nodes.filter("kind = 'class'")
     orders = table(spark, d, "orders").filter("o_orderkey % 100 = 0").selectExpr("concat('o', o_orderkey) id")
-    return graph.member_paths(nodes, edges, nations.select("id").unionByName(orders), nations, most=None).select("source", "target", "leaf", "hops")
+    return graph.member_paths(nodes, edges, nations.select("id").unionByName(orders), nations, most=None, paths=False).select("source", "target", "leaf", "hops")
 
 
 def callers_of(spark: SparkSession, d: str, edges: Edges = small_edges) -> DataFrame:

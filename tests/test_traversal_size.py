@@ -77,3 +77,25 @@ def test_keys_of_a_node_go_together(spark, make, written):
     assert found == sorted(((s, k, n) for s in range(300) for k, n in hops(pairs, [s], 4).items()), key=repr)
     most = max(table.count() for _, table in written)
     assert most <= max(1500, 2 * 600) < len(found) / 5
+
+
+def test_leaves_stop_their_target_only(spark, make, written):
+    rng = random.Random(3)
+    leaves = [(f"t{i % 30}", f"l{i}") for i in range(90)]
+    nodes = make([(t, "class", t, t, "src/main/a.java", 1) for t in sorted({t for t, _ in leaves})] + [(x, "method", x, x, "src/main/a.java", 1) for _, x in leaves], "id string, kind string, name string, qualified_name string, file_path string, start_line int")
+    calls = {(rng.choice(leaves)[1], rng.choice(leaves)[1]) for _ in range(200)}
+    row = lambda a, b, kind: (a, b, kind, 0, None, None, None)
+    edges = make([row(t, x, "contains") for t, x in leaves] + [row(a, b, "calls") for a, b in sorted(calls)], "src string, dst string, kind string, line int, resolved_by string, synthesized_by string, confidence double")
+    targets, columns = nodes.filter("kind = 'class'"), ("source", "target", "leaf", "hops")
+    sources = nodes.select("id")
+    expected = []
+    for source in (r[0] for r in sources.collect()):
+        members = [source, *(x for t, x in leaves if t == source)]
+        for target in sorted({t for t, _ in leaves}):
+            own = {x for t, x in leaves if t == target}
+            expected += [(source, target, k, n) for k, n in hops(calls, members, 6, own).items() if k in own]
+    assert len(expected) > 3000
+    assert rows_of(graph.member_paths(nodes, edges, sources, targets, most=None), *columns) == sorted(expected, key=repr)
+    before = len(written)
+    assert rows_of(graph.member_paths(nodes, edges, sources, targets, most=None, paths=False), *columns) == sorted(expected, key=repr)
+    assert max(table.count() for _, table in written[before:]) <= 120 * 30
