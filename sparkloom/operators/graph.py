@@ -299,12 +299,15 @@ def clamp_depth(depth: int | None) -> int:
     return max(1, min(MAX_DEPTH, DEFAULT_DEPTH if depth is None else depth))
 
 
-def _left(frontier: DataFrame, absorbing: DataFrame | None, level: int, keys: tuple[str, ...]) -> DataFrame:
-    """Rows of the frontier that are left on; nodes of ``absorbing`` are not, but as seeds."""
-    if absorbing is None or level == 1:
-        return frontier
-    on = [c for c in (*keys, "id") if c in absorbing.columns]
-    return frontier.join(absorbing.select(*on).distinct(), on, "left_anti")
+def _stops(absorbing: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The nodes of ``absorbing`` by the keys they have, written once for all levels; many are never broadcast."""
+    found = stored(absorbing.select(*(c for c in (*keys, "id") if c in absorbing.columns)).distinct())
+    return sized(found, found.count())
+
+
+def _left(frontier: DataFrame, stops: DataFrame | None) -> DataFrame:
+    """Rows of the frontier that are left on: not those at ``stops`` (of :func:`_stops`)."""
+    return frontier if stops is None else frontier.join(stops, stops.columns, "left_anti")
 
 
 def expand(steps: DataFrame, seeds: DataFrame, depth: int | None = None, keys: tuple[str, ...] = (), absorbing: DataFrame | None = None, paths: bool = True) -> DataFrame:
@@ -320,10 +323,12 @@ def expand(steps: DataFrame, seeds: DataFrame, depth: int | None = None, keys: t
     path = ["path"] if paths else []
     visited = stored(seeds.select(*keys, "id", F.lit(0).alias("depth"), F.array("id").alias("path")).select(*keys, "id", "depth", *path).distinct())
     hops = stored(steps.select("src", "dst").distinct())
-    frontier, hubs, rows = visited, hubs_of(hops, "src"), visited.count()
+    frontier, hubs, rows, stops = visited, hubs_of(hops, "src"), visited.count(), None
     for level in range(1, clamp_depth(depth) + 1):
+        if level == 2 and absorbing is not None:  # seeds are always left
+            stops = _stops(absorbing, keys)
         # a node that leads to a third of all is spread by whom it leads to
-        met = hub_join(hops, _left(frontier, absorbing, level, keys).withColumnRenamed("id", "src"), "src", F.col("dst"), hubs, rows)
+        met = hub_join(hops, _left(frontier, stops).withColumnRenamed("id", "src"), "src", F.col("dst"), hubs, rows)
         longer = [F.concat("path", F.array("dst")).alias("path")] if paths else []
         known = [F.lit(None).cast(visited.schema["path"].dataType).alias("path")] if paths else []
         met = met.select(*keys, F.col("dst").alias("id"), F.lit(level).alias("depth"), *longer)
@@ -367,13 +372,15 @@ def expand_sets(steps: DataFrame, seeds: DataFrame, names: DataFrame, depth: int
     begun = seeds.join(of_keys, [seeds[k].eqNullSafe(of_keys[k]) for k in own]).groupBy(seeds["id"], "_block").agg(*(F.bit_or(w).alias(w) for w in WORDS))
     visited = stored(begun.withColumn("depth", F.lit(0)))
     hops = stored(steps.select("src", "dst").distinct())
-    frontier, hubs, rows = visited, hubs_of(hops, "src"), visited.count()
+    frontier, hubs, rows, stops = visited, hubs_of(hops, "src"), visited.count(), None
     on = [k for k in keys if absorbing is not None and k in absorbing.columns]
     masks = stored(sets_of(names, *on)) if on else None
     none = [F.lit(0).cast("bigint").alias(f"{w}_old") for w in WORDS]
     for level in range(1, clamp_depth(depth) + 1):
+        if level == 2 and absorbing is not None and masks is None:
+            stops = _stops(absorbing, ())
         if masks is None or level == 1:
-            left = _left(frontier, absorbing, level, ())
+            left = _left(frontier, stops)
         else:
             stopped = held(frontier.select("id", "_block"), absorbing, masks, on).groupBy("id", "_block").agg(*(F.bit_or(f"{w}_mask").alias(f"{w}_mask") for w in WORDS))
             rest = frontier.join(stopped, ["id", "_block"], "left")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import lines as text_lines
+from sparkloom.functions.skew import sized
 from sparkloom.operators import graph
 from sparkloom.session import table
 
@@ -168,6 +169,7 @@ def shortest_path_len(spark: SparkSession, d: str, edges: Edges = small_edges, d
 
 def _stopped(spark: SparkSession, d: str, edges: Edges) -> tuple[DataFrame, DataFrame]:
     members = table(spark, d, "part").filter(F.col("p_brand") == BRAND).select(F.col("p_partkey").alias("id"))
+    members = sized(members, members.count())
     return graph.expand(edges(spark, d), _sources(spark, d), 6, (), members, paths=False), members
 
 

@@ -7,9 +7,10 @@ import re
 
 import pytest
 from conftest import rows_of
-from test_graph_queries import hops
+from test_graph_queries import LINE, hops
 
 from sparkloom.operators import graph
+from sparkloom.plans import graph as plans
 from sparkloom.plans import parts
 
 MANY = 120_000
@@ -63,6 +64,21 @@ def test_barrier_leaves_many_out(spark, make, written):
     assert reached.count() == MANY + 1 and not any(re.search(r"BroadcastHashJoin \[src#", plan) for plan, _ in written[:3])
 
 
+def test_many_barriers_are_not_broadcast(spark, make, written):
+    stops = spark.range(4, 3 * MANY, 2)
+    reached = graph.expand(chain(spark), make([(1,), (7,)], "id bigint"), absorbing=stops, paths=False)
+    assert rows_of(reached, "id", "depth") == [(1, 0), (2, 1), (3, 2), (4, 3), (7, 0), (8, 1)]
+    assert not any(re.search(r"BroadcastHashJoin \[id#", plan) for plan, _ in written)
+
+
+def test_paths_to_many_barriers(spark, make, written, tmp_path):
+    spark.range(MANY).selectExpr("id p_partkey", "'Brand#1' p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    make([(1, n, 100 + n, 1, 1.0, 1.0, 0.0, 0.0, "A", "O", "x") for n in range(3)], LINE).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = plans.QUERIES["whole_paths_with_barrier"](spark, str(tmp_path))
+    assert "BroadcastHashJoin [id#" not in "".join([found._jdf.queryExecution().executedPlan().toString(), *(plan for plan, _ in written)])
+    assert rows_of(found) == sorted([(i, 0) for i in range(0, MANY, 100)] + [(101, 1)], key=repr)
+
+
 def test_keyed_frontier_is_not_broadcast(spark, written):
     roots = spark.range(MANY).selectExpr("id")
     assert graph.impact_radius(chain(spark), roots, 1).count() == MANY - 1
