@@ -499,7 +499,8 @@ def with_members_of(nodes: DataFrame, edges: DataFrame, sources: DataFrame) -> D
 
 def unreached_members(nodes: DataFrame, edges: DataFrame, targets: DataFrame, paths: DataFrame) -> DataFrame:
     """Leaves of the targets that no path reaches."""
-    return callable_members(nodes, edges, targets).withColumnRenamed("id", "leaf").join(paths.select("target", "leaf"), ["target", "leaf"], "left_anti")
+    # what is reached may be many rows in small files, so that it is never broadcast
+    return callable_members(nodes, edges, targets).withColumnRenamed("id", "leaf").join(paths.select("target", "leaf").hint("merge"), ["target", "leaf"], "left_anti")
 
 
 def expansion(nodes: DataFrame, edges: DataFrame, roots: DataFrame, direction: str = "down", scope: str = "all", depth: int | None = None) -> DataFrame:

@@ -79,6 +79,14 @@ def test_paths_to_many_barriers(spark, make, written, tmp_path):
     assert rows_of(found) == sorted([(i, 0) for i in range(0, MANY, 100)] + [(101, 1)], key=repr)
 
 
+def test_unreached_of_many_paths(spark, make):
+    nodes = make([(i, "field", "x", "x", "a.java", 1) for i in (5, MANY - 1, MANY + 5)], "id bigint, kind string, name string, qualified_name string, file_path string, start_line int")
+    edges = make([], "src bigint, dst bigint, kind string")
+    found = graph.unreached_members(nodes, edges, nodes, spark.range(MANY).selectExpr("id target", "id leaf"))
+    assert rows_of(found) == [(MANY + 5, MANY + 5)]
+    assert not re.search(r"\[target#\w+, leaf#\w+\], LeftAnti, BuildRight", found._jdf.queryExecution().executedPlan().toString())
+
+
 def test_keyed_frontier_is_not_broadcast(spark, written):
     roots = spark.range(MANY).selectExpr("id")
     assert graph.impact_radius(chain(spark), roots, 1).count() == MANY - 1
