@@ -15,6 +15,10 @@ A page is a case if the covered part of what lies outside clauses is at least ``
 and rows of figures count as mass, but neither as clauses nor as keywords; they are told by their marks.
 Every page is measured whole, in one narrow pass; nothing is compared between pages.
 
+Patterns that are searched for begin with one set of characters, which the engine skips to, and look back
+from there. Lines of ASCII and pages without such scripts get plainer patterns of the same meaning, and
+coverage is only counted on pages where something lies outside clauses.
+
 Defined cases: null, empty and blank texts have no mass and are no case; repeated rows give one id;
 texts of any length are read whole.
 """
@@ -27,9 +31,9 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable
-from itertools import accumulate
+from itertools import accumulate, pairwise
+from operator import contains, eq, mul
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +55,7 @@ PIECE_WORDS = 3.2
 #: Share of a page's lines with marks of code from which on its lines without a clause are code, too.
 CODE_LINES = 0.25
 
+PLAIN_MARKS = ",;|>/~-\t"
 LINK, TAG, ITEM_END = "\x02", "\x04", "\x03"
 
 _WIDE_CLASS = "぀-ヿ㐀-鿿"
@@ -64,17 +69,18 @@ _MARKDOWN = re.compile(r"!?\[([^\[\]\n]*)\]\(([^()\s]*)\)")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>()\x02\x03]+")
 _TAGS = re.compile(r"(?<![\w&])[#@][\w-]*[^\W\d_][\w-]*|(?<![\w/`.])[a-z]{2,12}:[^\W_][\w-]*")
 _TAGGED = re.compile(r"[#@:]\w")
+_TAG_SIGN = re.compile(r"[#@:](?:(?<=[#@])[\w-]|(?<=[a-z]:)[^\W_])")  # every tag has one
 _ITEM = re.compile("([\x02\x04])([^\x03]*)\x03")
 _ITEMS = re.compile("([\x02\x04][^\x03]*\x03)")
 _FIGURES = re.compile(r"^\s*\|.*\|\s*$|^[\s\d.,;:|%+-]+$")
 _FRONT_LIST = re.compile(r"^\s*[\w-]+\s*:\s*(?=\[|[^,]*,)")
-_CODE_MARK = re.compile(r"[{}=\\(\[]|//|/\*|\*/|\"\"\"|->|::|\$ ")
-_CODE = re.compile(r"[{}=\\]|[A-Za-z0-9_\])]\(|//|/\*|\*/|\"\"\"|->|::|\w\[|^\s*\$ ")
-_SENTENCE_END = re.compile(r"[.!?…]+(?=\s|$|[)\"'»”])|[。！？]+")
+_CODE = re.compile(r"[{}=\\(/*\"\-:\[](?:(?<=[{}=\\])|(?<=[A-Za-z0-9_\])]\()|(?<=\w\[)|(?<=/)[/*]|(?<=\*)/|(?<=\")\"\"|(?<=-)>|(?<=:):)")
+_SENTENCE_END = re.compile(r"[.!?…。！？](?:(?<=[.!?…])(?<![.!?…].)[.!?…]*(?=\s|$|[)\"'»”])|(?<=[。！？])[。！？]*)")
 _SEPARATOR = re.compile(r"\s*(?:[,;|·»>•、，/]|\s[-–—~]\s|[^\S\n]{2,}|\t)\s*")
-_SEPARATORS = re.compile(r"[,;|·»>•、，/–—~-]|[^\S\n]{2,}|\t")
+_MARKS = re.compile(r"[,;|·»>•、，/–—~-]")
+_GAPS = re.compile(r"[^\S\n](?:[^\S\n]+|(?<=\t))")
 _PLAIN_SEPARATORS = re.compile(r"[,;|>/~-]|  +|\t")
-_PLAIN_END = re.compile(r"[.!?]+(?=\s|$|[)\"'])")
+_PLAIN_END = re.compile(r"[.!?](?<![.!?].)[.!?]*(?=\s|$|[)\"'])")
 _WIDE = re.compile(f"[{_WIDE_CLASS}]")
 _WIDE_RUN = re.compile(f"[{_WIDE_CLASS}]+")
 _WORD = re.compile(r"[^\W_]+(?:['’_-][^\W_]+)*")
@@ -87,18 +93,25 @@ class SuffixAutomaton:
     """Suffix automaton of a sequence of symbols; ``following[following[0][s]]`` holds what follows ``s`` somewhere.
 
     A symbol that occurs once is in no repeat, so it is written as None and only cuts the sequence: the
-    automaton is that of the parts between, which has the same repeats.
+    automaton is that of the parts between, which has the same repeats. As all others occur at least twice,
+    each has its own state from the start, the one after which it begins; so the root needs no search.
     """
 
     def __init__(self, symbols: list[int | None]) -> None:
-        most = 2 * len(symbols) + 1
-        length, link, following = [0] * most, [0] * most, [{}] * most
-        link[0], again = -1, bytearray(most)
-        at, last, states = [0] * len(symbols), 0, 1
+        first = {s: k for k, s in enumerate({*symbols} - {None}, 1)}
+        states = len(first) + 1
+        most = 2 * (len(symbols) + states)
+        length, link, following, again = [1] * most, [0] * most, [first, *({} for _ in first)], bytearray(most)
+        length[0] = 0
+        again[1:states] = b"\1" * len(first)
+        at, last = [0] * len(symbols), 0
         for i, s in enumerate(symbols):
             if s is None:
                 last = 0
                 continue
+            if not last:
+                at[i] = last = first[s]
+                continue
             there = following[last]
             if s in there:
                 q = there[s]
@@ -107,13 +120,19 @@ class SuffixAutomaton:
                     at[i] = last = q
                     continue
                 new = 0
+                p = last
             else:
                 new = states
                 states += 1
                 length[new] = length[last] + 1
-                following[new] = {}
-            p = last
-            while p >= 0:
+                following.append({})
+                there[s] = new
+                p = link[last]
+                if not p:
+                    link[new] = first[s]
+                    at[i] = last = new
+                    continue
+            while True:
                 there = following[p]
                 if s in there:
                     q = there[s]
@@ -125,14 +144,14 @@ class SuffixAutomaton:
                         states += 1
                         length[clone] = length[p] + 1
                         link[clone] = link[q]
-                        following[clone] = following[q].copy()
+                        following.append(following[q].copy())
                         link[q] = clone
                         again[clone] = again[link[clone]] = 1
                         if new:
                             link[new] = clone
                         else:
                             new = clone
-                        while p >= 0 and there.get(s) == q:
+                        while there.get(s) == q:
                             there[s] = clone
                             p = link[p]
                             there = following[p]
@@ -152,10 +171,20 @@ class SuffixAutomaton:
         return [(length[s] if again[s] else length[link[s]]) if s else 0 for s in self.at]
 
 
-def _outside_items(pattern: re.Pattern, form: Callable[[re.Match], str], text: str) -> str:
+def _outside_items(form: Callable[[str], str], text: str) -> str:
     if ITEM_END not in text:
-        return pattern.sub(form, text)
-    return "".join(p if p.endswith(ITEM_END) else pattern.sub(form, p) for p in _ITEMS.split(text))
+        return form(text)
+    return "".join(p if p.endswith(ITEM_END) else form(p) for p in _ITEMS.split(text))
+
+
+def _with_urls(text: str) -> str:
+    return _URL.sub(rf"{LINK}\g<0>{ITEM_END}", text)
+
+
+def _with_tags(text: str) -> str:
+    if not _TAG_SIGN.search(text):
+        return text
+    return "\n".join(_TAGS.sub(rf"{TAG}\g<0>{ITEM_END}", line) if _TAG_SIGN.search(line) else line for line in text.split("\n"))
 
 
 def _anchored(match: re.Match) -> str:
@@ -173,38 +202,44 @@ def _marked(text: str) -> str:
         text = _ELEMENT.sub(" ", _BLOCK.sub("\n", _ANCHOR.sub(_anchored, text)))
     if "&" in text:
         text = html.unescape(text)
-    if "[" in text:
-        text = _MARKDOWN.sub(f"{LINK}\\1 \\2{ITEM_END}", _WIKI.sub(f"{LINK}\\1{ITEM_END}", text))
+    if "[[" in text:
+        text = _WIKI.sub(f"{LINK}\\1{ITEM_END}", text)
+    if "](" in text:
+        text = _MARKDOWN.sub(f"{LINK}\\1 \\2{ITEM_END}", text)
     if "://" in text or "www." in text:
-        text = _outside_items(_URL, lambda m: f"{LINK}{m[0]}{ITEM_END}", text)
+        text = _outside_items(_with_urls, text)
     if _TAGGED.search(text):
-        text = _outside_items(_TAGS, lambda m: f"{TAG}{m[0]}{ITEM_END}", text)
+        text = _outside_items(_with_tags, text)
     return text
 
 
-def _is_list(segment: str, words: list[str], tagged: bool) -> bool:
-    """Short pieces between separators. In scripts without spaces a space is one."""
+def _is_list(segment: str, words: list[str], tagged: bool, any_wide: bool = True, marks: str = PLAIN_MARKS) -> bool:
+    """Short pieces between separators. In scripts without spaces a space is one.
+
+    ``any_wide`` and ``marks`` tell whether such a script, and which separators of ASCII, are on the page.
+    """
     if tagged and len(_WORD.findall(segment)) <= 8:
         return True
     if segment.isascii():
-        if sum(map(segment.count, ",;|>/~-\t")) + segment.count("  ") < 3:
+        if sum(map(segment.count, marks)) + segment.count("  ") < 3:
             return False
         pieces = len(_PLAIN_SEPARATORS.findall(segment)) + 1
     else:
-        if _WIDE.search(segment):
+        if any_wide and _WIDE.search(segment):
             runs = _WIDE_RUN.findall(segment)
             wide = sum(map(len, runs))
             if 2 * wide > len(words):
                 long = sum(len(r) for r in runs if len(r) >= CLAUSE_CHARACTERS)
                 return 2 * long < wide or (len(runs) >= 4 and wide < CLAUSE_CHARACTERS * len(runs))
-        pieces = len(_SEPARATORS.findall(segment)) + 1
+        pieces = len(_MARKS.findall(segment)) + len(_GAPS.findall(segment)) + 1
     if pieces >= 4:
         pieces = sum(1 for p in _SEPARATOR.split(segment) if p.strip(" -*+#>|"))
     return pieces >= 4 and len(words) <= PIECE_WORDS * pieces
 
 
-def read_page(text: str) -> tuple[list[str], list[tuple[str, int, int, int]]]:
-    """All words of a page in order, with marks of links, tags and ends, and its segments.
+def read_page(text: str) -> tuple[list[str], list[tuple[str, int, int, int]], bool]:
+    """All words of a page in order, with marks of links, tags and ends; its segments; and whether it has a
+    character of a script without spaces.
 
     A segment is its kind (running, short, listed, item, code or head), its line and where its tokens
     begin and end.
@@ -213,10 +248,10 @@ def read_page(text: str) -> tuple[list[str], list[tuple[str, int, int, int]]]:
     segments: list[tuple[str, int, int, int]] = []
     fenced = front = begun = False
     text = _marked(text).lower()
-    plain = text.isascii()
-    words_of, sentences_of = (_PLAIN_TOKEN.findall, _PLAIN_END.split) if plain else (_TOKEN.findall, _SENTENCE_END.split)
-    coded = _CODE_MARK.search(text) is not None
+    any_wide = not text.isascii() and _WIDE.search(text) is not None
+    other_words = _TOKEN.findall if any_wide else _WORD.findall
     any_items = ITEM_END in text
+    marks = "".join(c for c in PLAIN_MARKS if c in text or (c == "," and any_items))
     for n, line in enumerate(text.split("\n")):
         bare = line.strip()
         if not bare:
@@ -235,11 +270,11 @@ def read_page(text: str) -> tuple[list[str], list[tuple[str, int, int, int]]]:
             kind, line = ("", bare[listing.end() :]) if listing else ("head", line)
         elif first == "#" and not has_items:
             kind = "head"
-        elif _is_figures(bare) or (coded and not has_items and _CODE_MARK.search(bare) and _CODE.search(bare)):
+        elif _is_figures(bare) or (not has_items and (_CODE.search(bare) or bare.startswith("$ "))):
             kind = "code"
         begun = begun or not front
         if kind:
-            tokens += words_of(bare)
+            tokens += _PLAIN_TOKEN.findall(bare) if bare.isascii() else other_words(bare)
             segments.append((kind, n, start, len(tokens)))
             tokens.append("\n")
             continue
@@ -253,15 +288,16 @@ def read_page(text: str) -> tuple[list[str], list[tuple[str, int, int, int]]]:
                 tokens.append(ITEM_END)
                 segments.append(("item", n, start, len(tokens)))
             line = _ITEM.sub(" , ", line)
+        words_of, sentences_of = (_PLAIN_TOKEN.findall, _PLAIN_END.split) if line.isascii() else (other_words, _SENTENCE_END.split)
         for segment in sentences_of(line):
             words = words_of(segment)
             if words:
-                kind = "short" if len(words) < CLAUSE_WORDS else "listed" if _is_list(segment, words, tagged) else "running"
+                kind = "short" if len(words) < CLAUSE_WORDS else "listed" if _is_list(segment, words, tagged, any_wide, marks) else "running"
                 start = len(tokens)
                 tokens += words
                 segments.append((kind, n, start, len(tokens)))
                 tokens.append("\n")
-    return tokens, segments
+    return tokens, segments, any_wide
 
 
 def _is_figures(line: str) -> bool:
@@ -271,13 +307,16 @@ def _is_figures(line: str) -> bool:
     return 4 * sum(w[0].isdigit() for w in words) >= len(words) or set(line) <= set("|-: ")
 
 
-def covered_places(longest: list[int], size_to: np.ndarray, least: int = LEAST_REPEAT) -> np.ndarray:
+def covered_places(longest: list[int], size_to: list[int], least: int = LEAST_REPEAT) -> bytearray:
     """Whether each position lies in a repeated substring of ``least`` characters or more."""
-    repeats = np.array(longest, np.int64)
-    place = np.arange(len(repeats))
-    begin = place - repeats + 1
-    begin[size_to[1:] - size_to[begin] < least] = len(repeats)
-    return place >= np.minimum.accumulate(begin[::-1])[::-1]
+    covered, reach = bytearray(len(longest)), len(longest)
+    for i in range(len(longest) - 1, -1, -1):
+        if n := longest[i]:
+            begin = i - n + 1
+            if begin < reach and size_to[i + 1] - size_to[begin] >= least:
+                reach = begin
+            covered[i] = i >= reach
+    return covered
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -291,31 +330,21 @@ def _shape(token: str) -> tuple[int, float]:
 def measure(text: str | None) -> tuple[float, float, float, float, float]:
     """Mass of clauses, of what lies outside them, and of code and figures (in words); the share of the
     second covered by repeats; and the page's share of free neighbours."""
-    tokens, segments = read_page(text) if text and not text.isspace() else ([], [])
+    tokens, segments, any_wide = read_page(text) if text and not text.isspace() else ([], [], False)
     if not segments:
         return 0.0, 0.0, 0.0, 0.0, 0.0
     counts = Counter(tokens)
+    counts["\n"] = 0
     # what occurs once, and the ends of segments, only cut the sequence
-    number = {t: k for k, t in enumerate(t for t, n in counts.items() if n > 1 and t != "\n")}
+    number = {t: k for k, t in enumerate([t for t, n in counts.items() if n > 1])}
     symbols = list(map(number.get, tokens))
     automaton = SuffixAutomaton(symbols)
-    plain = text.isascii()
-    if plain:
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        mass_to: list[float] = []
-    else:
-        shape = {t: _shape(t) for t in counts}
-        sizes = np.array([shape[t][0] for t in tokens])
-        mass_to = [0.0, *accumulate([shape[t][1] for t in tokens])]
-    size_to = np.concatenate(([0], sizes.cumsum()))
-    repeated_to = [0, *np.where(covered_places(automaton.repeats(), size_to), sizes, 0).cumsum().tolist()]
-    size_to = size_to.tolist()
-    returns = [False] * len(number)  # characters of a script without spaces return in pairs, words hardly do
-    if not plain:
-        returns = [_WIDE.match(t) is not None for t in number]
-
-    following = automaton.following
-    after = [following[following[0][k]] for k in range(len(number))]
+    # characters of a script without spaces return in pairs, words hardly do
+    returns = [_WIDE.match(t) is not None for t in number] if any_wide else None
+
+    after = {k: automaton.following[q] for k, q in automaton.following[0].items()} | {None: {}}
+    turned = list(map(contains, map(after.get, symbols[1:]), symbols))  # known the other way round
+    doubled = True in map(eq, tokens, tokens[1:])
     orders: list[tuple[int, int]] = []
     all_pairs = all_free = code_lines = 0
     lines: set[int] = set()
@@ -324,18 +353,18 @@ def measure(text: str | None) -> tuple[float, float, float, float, float]:
         lines.add(line)
         pairs = free = 0
         if kind == "running" or kind == "short":
-            own = symbols[start:end]
             pairs = end - start - 1
-            known = [k for k in own if k is not None]
-            if len(set(known)) == len(known):  # no word twice
-                free = sum(1 for a, b in zip(own, own[1:]) if b is not None and a in after[b])
+            words = tokens[start:end]
+            if len({*words}) > pairs or (not doubled and len({*pairwise(words)}) == pairs):  # no word or no pair twice
+                free = sum(turned[start : end - 1])
             else:
                 met = set()
-                for a, b in zip(own, own[1:]):
+                for i, pair in enumerate(pairwise(symbols[start:end]), start):
+                    a, b = pair
                     if a is not None and b is not None:
-                        free += a == b or a in after[b] or (a, b) in met
-                        if not returns[a]:
-                            met.add((a, b))
+                        free += turned[i] or a == b or pair in met
+                        if returns is None or not returns[a]:
+                            met.add(pair)
             all_pairs += pairs
             all_free += free
         elif kind == "code":
@@ -348,27 +377,35 @@ def measure(text: str | None) -> tuple[float, float, float, float, float]:
     clauses_of = Counter(s[1] for s, is_clause in zip(segments, clause) if is_clause) if items_of else {}
     mostly_code = code_lines >= CODE_LINES * len(lines)
 
+    mass_to = [0.0, *accumulate([_shape(t)[1] for t in tokens])] if any_wide else []
     clauses = outside = other = 0.0
-    characters = repeated = 0
+    apart: list[tuple[int, int]] = []
     for (kind, line, start, end), is_clause in zip(segments, clause):
         if kind == "head":
             continue
-        tag = kind == "item" and tokens[start] == TAG
-        if tag:
+        if kind == "item" and tokens[start] == TAG:
             mass = float(len(_WORD.findall("".join(tokens[start:end]))))
-        elif plain:
-            mass = float(end - start - 2 * (kind == "item"))  # without the marks of an item
-        else:
+        elif any_wide:
             mass = mass_to[end] - mass_to[start]
+        else:
+            mass = float(end - start - 2 * (kind == "item"))  # without the marks of an item
         if is_clause or (kind == "item" and items_of[line] <= 2 * clauses_of.get(line, 0)):
             clauses += mass
         elif kind == "code" or (mostly_code and kind != "item"):
             other += mass
         else:
             outside += mass
-            characters += size_to[end] - size_to[start]
-            repeated += repeated_to[end] - repeated_to[start]
-    return clauses, outside, other, repeated / characters if characters else 0.0, disorder
+            apart.append((start, end))
+    return clauses, outside, other, _coverage(tokens, automaton, apart, any_wide) if apart else 0.0, disorder
+
+
+def _coverage(tokens: list[str], automaton: SuffixAutomaton, apart: list[tuple[int, int]], any_wide: bool) -> float:
+    """Share of the characters of these parts of a page that repeats anywhere in it cover."""
+    sizes = [_shape(t)[0] for t in tokens] if any_wide else list(map(len, tokens))
+    size_to = [0, *accumulate(sizes)]
+    repeated_to = [0, *accumulate(map(mul, covered_places(automaton.repeats(), size_to), sizes))]
+    characters = sum(size_to[end] - size_to[start] for start, end in apart)
+    return sum(repeated_to[end] - repeated_to[start] for start, end in apart) / characters if characters else 0.0
 
 
 MEASURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("clauses", "stuffed", "other", "coverage", "disorder")])

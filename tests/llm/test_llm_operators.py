@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 import string
 
 import pytest
@@ -392,6 +393,44 @@ def test_long_pages_are_measured_whole():
     assert stuffing.measure(PROSE * 400)[0] > 10_000
 
 
+def test_coverage_is_only_counted_outside_clauses(monkeypatch):
+    counted = []
+    monkeypatch.setattr(stuffing.SuffixAutomaton, "repeats", lambda self, f=stuffing.SuffixAutomaton.repeats: counted.append(1) or f(self))
+    assert not case(PROSE * 4) and not counted
+    assert case(SPAM[5]) and counted == [1]
+
+
+def test_runs_of_sentence_ends_take_linear_time():
+    import time
+
+    began = time.thread_time()
+    assert stuffing.measure("." * 20_000 + "x") == (0.0, 1.0, 0.0, 0.0, 0.0)
+    assert stuffing.measure("é" + "!?" * 10_000 + "x") == (0.0, 2.0, 0.0, 0.0, 0.0)
+    assert time.thread_time() - began < 3
+
+
+def test_entities_are_read_as_their_characters():
+    for text in (SPAM[6], FINE[18], "café süß " * 9):
+        assert stuffing.measure("".join(f"&#{ord(c)};" if ord(c) > 127 else c for c in text)) == stuffing.measure(text)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.sampled_from("ab1 \t\n\u3000.,!?…。！？é日_-'’[](){}=/*\">:$#@&|·–"), max_size=40))
+def test_patterns_equal_their_plain_forms(text):
+    def same(pattern, plain):
+        return [m.span() for m in pattern.finditer(text)] == [m.span() for m in re.finditer(plain, text)]
+
+    assert same(stuffing._SENTENCE_END, r"[.!?…]+(?=\s|$|[)\"'»”])|[。！？]+")
+    assert len(stuffing._MARKS.findall(text)) + len(stuffing._GAPS.findall(text)) == len(re.findall(r"[,;|·»>•、，/–—~-]|[^\S\n]{2,}|\t", text))
+    bare = text.replace("\n", "").strip()
+    assert bool(stuffing._CODE.search(bare) or bare.startswith("$ ")) == bool(re.search(r"[{}=\\]|[A-Za-z0-9_\])]\(|//|/\*|\*/|\"\"\"|->|::|\w\[|^\s*\$ ", bare))
+    assert stuffing._with_tags(text) == stuffing._TAGS.sub("\x04\\g<0>\x03", text)
+    if text.isascii():
+        assert same(stuffing._PLAIN_END, r"[.!?]+(?=\s|$|[)\"'])") and stuffing._PLAIN_TOKEN.findall(text) == stuffing._TOKEN.findall(text)
+    if not stuffing._WIDE.search(text):
+        assert stuffing._WORD.findall(text) == stuffing._TOKEN.findall(text)
+
+
 def test_hostile_texts_take_linear_time(make):
     import time
 
