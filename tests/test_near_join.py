@@ -72,3 +72,9 @@ def test_paths_sort_only_ends_of_lines(spark, make, monkeypatch, tmp_path):
     found = rows_of(plans.QUERIES["whole_shortest_path_len"](spark, str(tmp_path)))
     assert found == sorted(((s, k, n) for s in (100, 200) for k, n in hops(pairs, [s], 6).items()), key=repr)
     assert any("l_linenumber" in plan for plan in seen) and not any(re.search("l_(shipdate|tax|suppkey)", plan) for plan in seen)
+
+
+def test_hops_of_few_each_are_not_listed(spark, make, monkeypatch):
+    monkeypatch.setattr(graph, "near_join", None)
+    edges, seeds = make([(1, 2), (2, 3), (5, 3)], "src int, dst int"), make([(1, 1), (5, 5)], "source int, id int")
+    assert rows_of(graph.expand(edges, seeds, 4, ("source",), paths=False)) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (5, 3, 1), (5, 5, 0)]
